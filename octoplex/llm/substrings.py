@@ -5,13 +5,15 @@ string (a window) holds an anchor: of its K-grams the one with the smallest hash
 have equal anchors, so windows meet by anchor and the work splits into independent parts:
 
 1. Each batch of documents lists its anchors; counting their hashes over all batches shows which occur more than once.
-2. For those only, the stretch of windows around the anchor is sent to the part of its hash. There, equal stretches are
-   settled by the smallest doc_id; the windows of unequal ones are put in suffix order, and the longest previous factor
-   of each, from previous and next smaller positions, tells whether it occurs in an earlier document.
-3. Each batch merges what was found into the removed runs of its documents.
-
-An anchor that occurs HOT times or more would put many stretches into one part: its windows are sent one by one, by
-their own hash. Equal stretches of a batch are sent once, so a part gets one for each batch at most.
+2. For those only, the stretch of windows around the anchor is sent as two hashes of 64 bits, its anchor's and its own,
+   to the part of the first. Equal stretches are settled there by the smallest doc_id.
+3. The first of each kind, where an anchor has several kinds of stretches, is then sent whole. The windows of a part are
+   put in suffix order, and the longest previous factor of each, from previous and next smaller positions, tells
+   whether it occurs in an earlier document.
+4. Each batch merges what was found into the removed runs of its documents.
+
+An anchor that occurs HOT times or more could put many kinds of stretches into one part: its windows are sent one by
+one, by their own hash. Equal stretches of a batch are sent once, so a part gets one for each batch at most.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_groups, shared_dir, table
+from .common import cut, row_groups, shared_dir, table
 
 MIN_BYTES = 50
 K = 26
 HOT = 4096
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Input bytes, as stored, to a bucket of the batch table; and parts of the hash space to a bucket.
-BUCKET_BYTES, PARTS = 8 << 20, 4
+BUCKET_BYTES, PARTS = 8 << 20, 8
 _LAST = 2**63 - 1
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _BYTE = np.random.default_rng(50).integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -60,26 +62,27 @@ def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return _mixed(h)
 
 
-def runs(data: np.ndarray, bounds: np.ndarray, size: int = MIN_BYTES, k: int = K, piece: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last window start of each run of windows that share an anchor.
+def runs(data: np.ndarray, bounds: np.ndarray, size: int = MIN_BYTES, k: int = K, own: bool = False, piece: int = 1 << 17) -> list[np.ndarray]:
+    """Of each run of windows that share an anchor: its hash, the first and last window start, and if `own` a hash of all.
 
-    bounds are the offsets of the documents in data; windows stay inside a document.
+    bounds are the offsets of the documents in data; windows stay inside a document. A run has size - k + 1 windows at
+    most and its first and last overlap, so their hashes and distance stand for its whole text.
     """
     span, total = size - k + 1, len(data) - size + 1
-    if total <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kinds = (np.uint64, np.int64, np.int64, np.uint64)
+    found: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in kinds]
     inside = np.zeros(len(data) + 1, np.int8)
     starts, ends = bounds[:-1], bounds[1:] - size + 1
     real = ends > starts
     np.add.at(inside, starts[real], 1)
     np.add.at(inside, ends[real], -1)
     inside = np.cumsum(inside, dtype=np.int8).astype(bool)
-    hashes, firsts, lasts = [], [], []
     for at in range(0, total, piece):
         n = min(piece, total - at)
         if not inside[at : at + n].any():
             continue
-        grams = _gram_hashes(data[at : at + n + size - 1], k)
+        text = data[at : at + n + size - 1]
+        grams = _gram_hashes(text, k)
         low = (grams & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(len(grams), dtype=np.uint64)
         width = 1
         while 2 * width <= span:
@@ -91,12 +94,14 @@ def runs(data: np.ndarray, bounds: np.ndarray, size: int = MIN_BYTES, k: int = K
         new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         last = np.concatenate((new[1:], [n])) - 1
         good = anchor[new] >= 0
-        hashes.append(grams[anchor[new[good]]])
-        firsts.append(new[good] + at)
-        lasts.append(last[good] + at)
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts)
+        new, last = new[good], last[good]
+        found[0].append(grams[anchor[new]])
+        found[1].append(new + at)
+        found[2].append(last + at)
+        if own:
+            whole = _gram_hashes(text, size)
+            found[3].append(_mixed(whole[new] * _C1 + (whole[last] ^ _C2) + (last - new).astype(np.uint64)))
+    return [np.concatenate(x) for x in found]
 
 
 def longest_previous_factors(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -170,72 +175,133 @@ def _list_anchors(parts: int, size: int):
                 keys, counts = np.unique(runs(data, bounds, size)[0], return_counts=True)
                 counts = np.minimum(counts, 65535).astype(np.uint16)
                 out = [(part, number, keys[a:b].tobytes(), counts[a:b].tobytes()) for part, a, b in _segments(_part(keys, parts))]
-                if out:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("part", "batch", "keys", "counts"), x, strict=True)) for x in out], schema=pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+                yield from _rows(out, pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])).to_batches()
 
     return rows
 
 
 def _count_anchors(group: pa.Table) -> pa.Table:
     """For each batch, a byte for each of its anchors in this part: 0 seen once, 1 repeated, 2 hot. Rows of zeros go."""
-    blobs = group.column("keys").to_pylist()
-    keys = np.frombuffer(b"".join(blobs), np.uint64)
-    counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint16)
+    keys, sizes = _joined(group.column("keys"), np.uint64)
+    counts, _ = _joined(group.column("counts"), np.uint16)
     _, back = np.unique(keys, return_inverse=True)
     total = np.bincount(back, counts)[back]
-    codes = ((total >= 2).astype(np.uint8) + (total >= HOT)).astype(np.uint8)
-    out, at = [], 0
-    for blob in blobs:
-        code = codes[at : at + len(blob) // 8]
-        out.append(code.tobytes() if code.any() else None)
-        at += len(code)
-    made = pa.table({"batch": group.column("batch"), "part": group.column("part"), "codes": pa.array(out, pa.binary())})
-    return made.filter(pa.compute.is_valid(made.column("codes")))
-
-
-_STRETCHES = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("keys", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("done", pa.list_(pa.int64()))])
-_STRETCHES_SQL = "part bigint, batch bigint, keys array<bigint>, texts array<binary>, docs array<bigint>, starts array<bigint>, done array<bigint>"
-_MARKS = pa.schema([("batch", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+    return _coded(group, ((total >= 2).astype(np.uint8) + (total >= HOT)).astype(np.uint8), sizes, 1)
 
 
-def _list_stretches(parts: int, size: int):
-    def rows(batch: pa.Table, codes: pa.Table) -> pa.Table:
-        if not codes.num_rows or not batch.num_rows:
-            return _STRETCHES.empty_table()
-        number, ids, texts = (batch.column(c)[0].as_py() for c in ("batch", "ids", "texts"))
-        data, array, bounds, docs = _batch_arrays(ids, texts)
-        anchors, first, last = runs(array, bounds, size)
+class _Stretches:
+    """The stretches of a batch around its repeated anchors, in the order of key, kind and doc_id."""
+
+    def __init__(self, batch: pa.Table, codes: pa.Table, parts: int, size: int):
+        ids, texts = batch.column("ids")[0].as_py(), batch.column("texts")[0].as_py()
+        self.data, array, bounds, docs = _batch_arrays(ids, texts)
+        anchors, first, last, kind = runs(array, bounds, size, own=True)
         keys, back = np.unique(anchors, return_inverse=True)
-        code = np.zeros(len(keys), np.uint8)
-        where = {part: (a, b) for part, a, b in _segments(_part(keys, parts))}
-        for part, found in zip(codes.column("part").to_pylist(), codes.column("codes").to_pylist(), strict=True):
-            a, b = where[part]
-            code[a:b] = np.frombuffer(found, np.uint8)
-        mine = code[back]
+        mine = _decoded(codes, 1, _part(keys, parts))[back]
         warm, hot = np.flatnonzero(mine == 1), np.flatnonzero(mine == 2)
-        key, lo, hi = anchors[warm], first[warm], last[warm]
+        key, kind, lo, hi = anchors[warm], kind[warm], first[warm], last[warm]
         if len(hot):
             reach = last[hot] - first[hot] + 1
-            each = np.repeat(first[hot], reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+            each = np.repeat(first[hot] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
             windows = np.lib.stride_tricks.sliding_window_view(array, size)
-            own = np.concatenate([_mixed(_gram_rows(windows[each[a : a + 65536]])) for a in range(0, len(each), 65536)])
-            key, lo, hi = np.concatenate((key, own)), np.concatenate((lo, each)), np.concatenate((hi, each))
+            own = np.concatenate([_gram_rows(windows[each[a : a + 65536]]) for a in range(0, len(each), 65536)])
+            key, kind = np.concatenate((key, _mixed(own))), np.concatenate((kind, _mixed(own * _C2 + _C3)))
+            lo, hi = np.concatenate((lo, each)), np.concatenate((hi, each))
         doc = docs[np.searchsorted(bounds, lo, side="right") - 1]
-        order = np.lexsort((lo, doc, key))
-        key, lo, stop, doc = key[order], lo[order], hi[order] + size, doc[order]
+        order = np.lexsort((lo, doc, kind, key))
+        self.key, self.kind, self.lo, self.stop, self.doc = key[order], kind[order], lo[order], hi[order] + size, doc[order]
+        same = (self.key[1:] == self.key[:-1]) & (self.kind[1:] == self.kind[:-1])
+        self.head = np.flatnonzero(np.concatenate(([True], ~same))) if len(order) else np.zeros(0, np.int64)
+        self.group = np.repeat(np.arange(len(self.head)), np.diff(np.concatenate((self.head, [len(order)]))))
+        self.part = _part(self.key[self.head], parts)
+
+
+def _decoded(codes: pa.Table, step: int, part: np.ndarray) -> np.ndarray:
+    """A code for each of the keys whose ascending parts are given; parts without a row have zeros."""
+    out = np.zeros(len(part), np.uint8)
+    where = {p: (a, b) for p, a, b in _segments(part)}
+    for k, p, found in zip(*[codes.column(c).to_pylist() for c in ("step", "part", "codes")], strict=True):
+        if k == step:
+            a, b = where[p]
+            out[a:b] = np.frombuffer(found, np.uint8)
+    return out
+
+
+_HASHES = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("kinds", pa.binary()), ("docs", pa.binary())])
+
+
+def _list_hashes(parts: int, size: int):
+    def rows(batch: pa.Table, codes: pa.Table) -> pa.Table:
+        if not codes.num_rows or not batch.num_rows:
+            return _HASHES.empty_table()
+        x, number = _Stretches(batch, codes, parts, size), batch.column("batch")[0].as_py()
+        key, kind, doc = x.key[x.head], x.kind[x.head], x.doc[x.head]
+        return _rows([(part, number, key[a:b].tobytes(), kind[a:b].tobytes(), doc[a:b].tobytes()) for part, a, b in _segments(x.part)], _HASHES)
+
+    return rows
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_CODES = pa.schema([("batch", pa.int64()), ("step", pa.int32()), ("part", pa.int64()), ("codes", pa.binary())])
+
+
+def _coded(group: pa.Table, codes: np.ndarray, sizes: list[int], step: int) -> pa.Table:
+    """codes cut back into the group's rows; rows of zeros go."""
+    edges = np.cumsum([0, *sizes])
+    pieces = [codes[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return _rows([(n, step, p, c.tobytes()) for n, p, c in zip(group.column("batch").to_pylist(), group.column("part").to_pylist(), pieces, strict=True) if c.any()], _CODES)
+
+
+def _joined(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, list[int]]:
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), kind), [len(x) // np.dtype(kind).itemsize for x in blobs]
+
+
+def _settle(group: pa.Table) -> pa.Table:
+    """1: the same stretch begins in an earlier document. 2: it is the first, but its anchor has other kinds of stretches."""
+    keys, sizes = _joined(group.column("keys"), np.uint64)
+    kinds, _ = _joined(group.column("kinds"), np.uint64)
+    docs, _ = _joined(group.column("docs"), np.int64)
+    order = np.lexsort((docs, kinds, keys))
+    key, kind, doc = keys[order], kinds[order], docs[order]
+    other = key[1:] != key[:-1]
+    new_key, new = np.concatenate(([True], other)), np.concatenate(([True], other | (kind[1:] != kind[:-1])))
+    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    several = np.bincount(np.cumsum(new_key) - 1, new)[np.cumsum(new_key) - 1] > 1
+    codes = np.zeros(len(order), np.uint8)
+    codes[order] = np.where(least < doc, 1, np.where(several, 2, 0))
+    return _coded(group, codes, sizes, 2)
+
+
+_STRETCHES = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("texts", pa.list_(pa.binary())), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("done", pa.list_(pa.int64()))])
+_STRETCHES_SQL = "part bigint, batch bigint, texts array<binary>, docs array<bigint>, starts array<bigint>, done array<bigint>"
+_MARKS = pa.schema([("batch", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+
+
+def _list_texts(parts: int, size: int):
+    """The stretches that are still open, and the settled ones as byte ranges, which only pass through a part."""
+
+    def rows(batch: pa.Table, codes: pa.Table) -> pa.Table:
+        if not codes.num_rows or not batch.num_rows:
+            return _STRETCHES.empty_table()
+        x, number = _Stretches(batch, codes, parts, size), batch.column("batch")[0].as_py()
+        code = _decoded(codes, 2, x.part)
+        done = (code[x.group] == 1) | (x.doc > x.doc[x.head][x.group])
         out = []
-        for part, a, b in _segments(_part(key, parts)):
-            seen: dict[tuple, int] = {}
-            row = ([], [], [], [], [])
-            for k, s, e, d in zip(key[a:b].view(np.int64).tolist(), lo[a:b].tolist(), stop[a:b].tolist(), doc[a:b].tolist(), strict=True):
-                text = data[s:e]
-                if seen.setdefault((k, text), d) < d:
-                    row[4].extend((s, e))  # an earlier document of this batch has all of it
-                    continue
-                for column, x in zip(row, (k, text, d, s), strict=False):
-                    column.append(x)
-            out.append((part, number, *row))
-        return pa.Table.from_pylist([dict(zip(_STRETCHES.names, x, strict=True)) for x in out], schema=_STRETCHES)
+        if done.any():
+            order = np.argsort(x.lo[done], kind="stable")
+            lo, hi = _merged(x.lo[done][order], x.stop[done][order], False)
+            out.append((number % parts, number, [], [], [], np.column_stack((lo, hi)).ravel()))
+        left = np.flatnonzero(~done & (code[x.group] == 2))
+        for part, a, b in _segments(x.part[x.group[left]]):
+            some = left[a:b]
+            texts = [x.data[s:e] for s, e in zip(x.lo[some].tolist(), x.stop[some].tolist(), strict=True)]
+            out.append((part, number, texts, x.doc[some], x.lo[some], []))
+        return _rows(out, _STRETCHES)
 
     return rows
 
@@ -255,11 +321,10 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 
 def _resolve(size: int):
     def rows(group: pa.Table) -> pa.Table:
-        columns = {c: _one(group.column(c)) for c in ("batch", "keys", "texts", "docs", "starts", "done")}
+        columns = {c: _one(group.column(c)) for c in ("batch", "texts", "docs", "starts", "done")}
         batch = columns["batch"].to_numpy()
-        owner = np.repeat(np.arange(len(batch)), np.diff(columns["keys"].offsets.to_numpy()))
-        flat = {c: columns[c].flatten() for c in ("keys", "docs", "starts")}
-        keys, docs, starts = (flat[c].to_numpy() for c in ("keys", "docs", "starts"))
+        owner = np.repeat(np.arange(len(batch)), np.diff(columns["docs"].offsets.to_numpy()))
+        docs, starts = (columns[c].flatten().to_numpy() for c in ("docs", "starts"))
         texts = columns["texts"].flatten()
         code = texts.dictionary_encode()  # equal stretches get equal codes
         kind, texts = code.indices.to_numpy().astype(np.int64), code.dictionary
@@ -274,11 +339,7 @@ def _resolve(size: int):
             np.minimum.at(least, kind, docs)
             late = docs > least[kind]
             marks.append((owner[late], starts[late], starts[late] + length[kind[late]]))
-            # Keys with several stretches: only their windows need the suffix order.
-            key_of = np.zeros(len(texts), np.int64)
-            key_of[kind] = keys
-            names, times = np.unique(key_of, return_counts=True)
-            mixed = np.flatnonzero(times[np.searchsorted(names, key_of)] > 1)
+            mixed = np.arange(len(texts))
             if len(mixed):
                 mixed = mixed[np.argsort(least[mixed], kind="stable")]
                 pieces = [texts[int(t)].as_py() for t in mixed]
@@ -298,7 +359,7 @@ def _resolve(size: int):
                 head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))
                 common[equal & (source == source[head])] = size - 1
                 hit = longest_previous_factors(order, common) >= size
-                holders = np.flatnonzero(~late & np.isin(kind, mixed))
+                holders = np.flatnonzero(~late)
                 slot = np.full(len(texts), -1)
                 slot[mixed] = np.arange(len(mixed))
                 first = np.cumsum(n) - n
@@ -314,7 +375,7 @@ def _resolve(size: int):
             owner, lo, hi = owner[order], lo[order], hi[order]
             for o, a, b in _segments(owner):
                 out.append((int(batch[o]), *_merged(lo[a:b], hi[a:b], False)))  # runs of neighbouring documents may touch
-        return pa.Table.from_pylist([dict(zip(_MARKS.names, x, strict=True)) for x in out], schema=_MARKS)
+        return _rows(out, _MARKS)
 
     return rows
 
@@ -370,8 +431,11 @@ def remove_repeats(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
     spark.sql(f"DROP TABLE {name}")  # the files stay
     parts = buckets * PARTS
     anchors = batches.mapInArrow(_list_anchors(parts, size), "part bigint, batch bigint, keys binary, counts binary")
-    codes = anchors.groupBy("part").applyInArrow(_count_anchors, "batch bigint, part bigint, codes binary")
-    stretches = batches.groupBy("batch").cogroup(codes.groupBy("batch")).applyInArrow(_list_stretches(parts, size), _STRETCHES_SQL)
+    coded = "batch bigint, step int, part bigint, codes binary"
+    repeated = cut(anchors.groupBy("part").applyInArrow(_count_anchors, coded))
+    hashes = batches.groupBy("batch").cogroup(repeated.groupBy("batch")).applyInArrow(_list_hashes(parts, size), "part bigint, batch bigint, keys binary, kinds binary, docs binary")
+    codes = repeated.union(hashes.groupBy("part").applyInArrow(_settle, coded))
+    stretches = batches.groupBy("batch").cogroup(codes.groupBy("batch")).applyInArrow(_list_texts(parts, size), _STRETCHES_SQL)
     marks = stretches.groupBy("part").applyInArrow(_resolve(size), "batch bigint, starts array<bigint>, ends array<bigint>")
     return batches.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(_cut_documents, "doc_id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary")
 
