@@ -32,7 +32,7 @@ K = 26
 HOT = 4096
 BATCH_BYTES = 2 << 20
 #: Input bytes, as stored, to a bucket of the batch table; and parts of the hash space to a bucket.
-BUCKET_BYTES, PARTS = 8 << 20, 8
+BUCKET_BYTES, PARTS = 4 << 20, 4
 _LAST = 2**63 - 1
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _BYTE = np.random.default_rng(50).integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -170,7 +170,8 @@ def _packed(number, ids, texts):
 def _list_anchors(parts: int, size: int):
     def rows(batches):
         for batch in batches:
-            for number, ids, texts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for k in range(batch.num_rows):
+                number, ids, texts = (c[k].as_py() for c in batch.columns)
                 _, data, bounds, _ = _batch_arrays(ids, texts)
                 keys, counts = np.unique(runs(data, bounds, size)[0], return_counts=True)
                 counts = np.minimum(counts, 65535).astype(np.uint16)
@@ -234,6 +235,7 @@ def _list_hashes(parts: int, size: int):
     def rows(batch: pa.Table, codes: pa.Table) -> pa.Table:
         if not codes.num_rows or not batch.num_rows:
             return _HASHES.empty_table()
+        _freed()
         x, number = _Stretches(batch, codes, parts, size), batch.column("batch")[0].as_py()
         key, kind, doc = x.key[x.head], x.kind[x.head], x.doc[x.head]
         return _rows([(part, number, key[a:b].tobytes(), kind[a:b].tobytes(), doc[a:b].tobytes()) for part, a, b in _segments(x.part)], _HASHES)
@@ -241,6 +243,16 @@ def _list_hashes(parts: int, size: int):
     return rows
 
 
+def _freed() -> None:
+    """Gives freed memory back to the system, as a worker lives on for many groups."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [()] * len(schema)
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -288,6 +300,7 @@ def _list_texts(parts: int, size: int):
     def rows(batch: pa.Table, codes: pa.Table) -> pa.Table:
         if not codes.num_rows or not batch.num_rows:
             return _STRETCHES.empty_table()
+        _freed()
         x, number = _Stretches(batch, codes, parts, size), batch.column("batch")[0].as_py()
         code = _decoded(codes, 2, x.part)
         done = (code[x.group] == 1) | (x.doc > x.doc[x.head][x.group])
@@ -423,7 +436,7 @@ def remove_repeats(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = int(min(max(-(-stored // BUCKET_BYTES), 8), 20_000))
+    buckets = int(min(max(-(-stored // BUCKET_BYTES), 8), 100_000))
     name = f"octoplex_{uuid.uuid4().hex}"
     packed = docs.mapInArrow(_pack(BATCH_BYTES), "batch bigint, ids array<bigint>, texts array<binary>")
     packed.write.bucketBy(buckets, "batch").option("path", f"{shared_dir(spark)}/octoplex/{name}").format("parquet").saveAsTable(name)
