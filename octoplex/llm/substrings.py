@@ -95,7 +95,7 @@ def runs(data: np.ndarray, bounds: np.ndarray, size: int = MIN_BYTES, k: int = K
         last = np.concatenate((new[1:], [n])) - 1
         good = anchor[new] >= 0
         new, last = new[good], last[good]
-        found[0].append(grams[anchor[new]])
+        found[0].append(_mixed(grams[anchor[new]] ^ _C2))  # anchors have small hashes; the parts need even ones
         found[1].append(new + at)
         found[2].append(last + at)
         if own:
