@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .literals import InvalidChunkSize, Unsupported
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once however often `then` and its lambdas use it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def literal(data: bytes) -> Column:
     return F.lit(bytearray(data))
 
@@ -75,18 +80,25 @@ def display(b: Column, kind: str = "hex", chunk: int = 8, width: int = 16) -> Co
     else:
         n = size(b) * 8
         starts = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(chunk).cast("bigint"))).otherwise(F.expr("cast(array() as array<bigint>)"))
-        held = bits(b)
 
-        def cell(s: Column) -> Column:
-            count = F.least(F.lit(chunk).cast("bigint"), n - s)
-            piece = F.when(count > 64, F.lit("0")).otherwise(F.substring(held, (s + 1).cast("int"), count.cast("int")))
-            return _rendered(piece, count, kind)
+        def cut_bits(held: Column) -> Column:
+            def cell(s: Column) -> Column:
+                count = F.least(F.lit(chunk).cast("bigint"), n - s)
+                piece = F.when(count > 64, F.lit("0")).otherwise(F.substring(held, (s + 1).cast("int"), count.cast("int")))
+                return _rendered(piece, count, kind)
+
+            return F.transform(starts, cell)
 
-        cells = F.transform(starts, cell)
+        # By bytes no bit string is needed.
+        cells = F.transform(pairs(b), lambda x: _rendered(F.lpad(F.conv(x, 16, 2), 8, "0"), F.lit(8), kind)) if chunk == 8 else let(bits(b), cut_bits)
     if not width:
         return F.array_join(cells, " ")
-    lines = F.when(F.size(cells) > 0, F.sequence(F.lit(0), F.size(cells) - 1, F.lit(width))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.array_join(F.transform(lines, lambda s: F.array_join(F.slice(cells, s + 1, F.lit(width)), " ")), "\n")
+
+    def lined(c: Column) -> Column:
+        starts = F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1, F.lit(width))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.array_join(F.transform(starts, lambda s: F.array_join(F.slice(c, s + 1, F.lit(width)), " ")), "\n")
+
+    return let(cells, lined)
 
 
 def offset_text(offset: Column, last: Column) -> Column:

@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import octets
 from ..functions.literals import Unsupported
@@ -14,7 +15,7 @@ from ..functions.literals import Unsupported
 ALIASES = {"sha-1": "sha1", "sha-256": "sha256", "blake3-256": "blake3", "crc-32": "crc32", "xxh64": "xxhash64"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def xxh64(data: pd.Series) -> pd.Series:
     """XXH64 with seed 0, 16 hex digits."""
     from xxhash import xxh64_hexdigest
@@ -67,7 +68,7 @@ def blake3_hex(data: bytes) -> str:
     return struct.pack("<8I", *tree(0, max(1, -(-len(data) // 1024)), _ROOT)).hex()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def blake3(data: pd.Series) -> pd.Series:
     return data.map(lambda x: blake3_hex(bytes(x)), na_action="ignore")
 

@@ -78,8 +78,10 @@ def regex_spans(b: Column, pattern: Regex) -> Column:
     text = F.decode(b, "UTF-8")
     gaps = F.transform(F.split(text, source, -1), lambda x: F.octet_length(x).cast("bigint"))
     hits = F.transform(F.regexp_extract_all(text, F.lit(source), F.lit(0)), lambda x: F.octet_length(x).cast("bigint"))
-    before = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x) + F.aggregate(F.slice(hits, 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return F.transform(hits, lambda h, i: F.struct(before(i).alias("offset"), h.alias("length")))
+    empty = F.expr("cast(array() as array<struct<offset:bigint,length:bigint>>)")
+    step = lambda a, x: F.when(x["h"].isNull(), a).otherwise(F.struct((a["at"] + x["g"] + x["h"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("offset"), x["h"].alias("length")))).alias("out")))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    return F.aggregate(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))), start, step, lambda a: a["out"])
 
 
 def search(df: DataFrame, pattern: Pattern, find_all: bool = True, no_overlap: bool = False, context: int = 0, key: str = "blob_id") -> DataFrame:

@@ -1,4 +1,385 @@
 """Named queries over the test tables, with the SQL each is held against."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import octets
+from ..functions.literals import Exact, pattern
+from ..operators import analyze, convert, diff, digest, edit, regions, search, template
+from ..sources import blobs
+from ..streaming import blobs as streams
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_BYTES = "regexp_extract_all(lower(hex(encode({}))), '..')"
+_DOC = _BYTES.format("text")
+_ORDINAL = "CAST(('0x' || {}) AS INTEGER)"
+#: A row for each byte: doc_id, k (0-based), h (hex).
+_EACH = f"(SELECT doc_id, unnest(range(len(p))) AS k, unnest(p) AS h FROM (SELECT doc_id, {_DOC} AS p FROM documents))"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return blobs.from_text(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").withColumnRenamed("blob_id", "doc_id")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return blobs.from_text(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "html").withColumnRenamed("blob_id", "page_id")
+
+
+def _md5(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    return df.select(key, F.md5("data").alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) >= 16 THEN lower(hex(encode(text)))[1:32] END AS head FROM documents")
+def read_range(spark, d):
+    return edit.read(_docs(spark, d), "0..0x10").select("doc_id", F.lower(F.hex("data")).alias("head"))
+
+
+def _shown(kind):
+    return lambda spark, d: _docs(spark, d).select("doc_id", F.md5(octets.display(F.col("data"), kind).cast("binary")).alias("digest"))
+
+
+_LINES = "SELECT doc_id, md5(array_to_string(list_transform(range(0, len(c), 16), lambda s: array_to_string(c[s + 1 : s + 16], ' ')), chr(10))) AS digest FROM (SELECT doc_id, {} AS c FROM documents)"
+_CELLS = {"hex": _DOC, "dec": f"list_transform({_DOC}, lambda h: CAST({_ORDINAL.format('h')} AS VARCHAR))", "oct": f"list_transform({_DOC}, lambda h: ltrim(printf('%o', {_ORDINAL.format('h')})))", "bin": f"list_transform({_DOC}, lambda h: right(bin({_ORDINAL.format('h')} + 256), 8))"}
+for _kind, _sql in _CELLS.items():
+    QUERIES[f"display_{_kind}"] = _shown(_kind)
+    ORACLE_SQL[f"display_{_kind}"] = _LINES.format(_sql)
+QUERIES["display_ascii"] = _shown("ascii")
+ORACLE_SQL["display_ascii"] = f"SELECT doc_id, md5(array_to_string(list_transform(range(0, len(c), 16), lambda s: array_to_string(c[s + 1 : s + 16], '')), chr(10))) AS digest FROM (SELECT doc_id, list_transform({_DOC}, lambda h: CASE WHEN h BETWEEN '20' AND '7e' THEN chr({_ORDINAL.format('h')}) ELSE '.' END) AS c FROM documents)"
+
+
+@query(f"SELECT page_id, s AS \"offset\", CASE WHEN len(c) > 65535 THEN printf('0x%08x', s) ELSE printf('0x%04x', s) END || ': ' || rpad(array_to_string(c[s + 1 : s + 16], ' '), 47, ' ') || '  |' || array_to_string(list_transform(c[s + 1 : s + 16], lambda h: CASE WHEN h BETWEEN '20' AND '7e' THEN chr({_ORDINAL.format('h')}) ELSE '.' END), '') || '|' AS line FROM (SELECT page_id, c, unnest(range(0, len(c), 16)) AS s FROM (SELECT page_id, {_BYTES.format('html')} AS c FROM pages))")
+def hexdump_lines(spark, d):
+    return _pages(spark, d).select("page_id", F.explode(octets.dump_lines(F.col("data"))).alias("x")).select("page_id", "x.*")
+
+
+def _edited(change):
+    return lambda spark, d: _md5(change(_docs(spark, d)))
+
+
+_HEX = "lower(hex(encode(text)))"
+for _name, _change, _test, _made in (
+    ("write", lambda df: edit.write(df, 2, b"\xff\x00"), "strlen(text) >= 4", f"{_HEX}[1:4] || 'ff00' || {_HEX}[9:]"),
+    ("insert", lambda df: edit.insert(df, 3, b"\xca\xfe"), "strlen(text) >= 3", f"{_HEX}[1:6] || 'cafe' || {_HEX}[7:]"),
+    ("remove", lambda df: edit.remove(df, "1..5"), "strlen(text) >= 5", f"{_HEX}[1:2] || {_HEX}[11:]"),
+    ("replace", lambda df: edit.replace(df, "2..", b"\x80"), "strlen(text) > 2", f"{_HEX}[1:4] || '80'"),
+):
+    QUERIES[f"edit_{_name}"] = _edited(_change)
+    ORACLE_SQL[f"edit_{_name}"] = f"SELECT doc_id, CASE WHEN {_test} THEN md5(unhex({_made})) END AS digest FROM documents"
+
+_SPLIT = "(SELECT doc_id, unnest(range(1, len(p))) AS i, p, text FROM (SELECT doc_id, text, string_split(text, 'the') AS p FROM documents))"
+_AT = "CAST(strlen(array_to_string(p[1:i], 'the')) AS BIGINT)"
+
+
+@query(f"SELECT doc_id, {_AT} AS \"offset\" FROM {_SPLIT}")
+def search_exact_all(spark, d):
+    return search.search(_docs(spark, d), pattern("the", "ascii"), key="doc_id").select("doc_id", "offset")
+
+
+@query("SELECT doc_id, CAST(strlen(string_split(text, 'the')[1]) AS BIGINT) AS \"offset\" FROM documents WHERE contains(text, 'the')")
+def search_first(spark, d):
+    return search.search(_docs(spark, d), pattern("74 68 65", "hex"), find_all=False, key="doc_id").select("doc_id", "offset")
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, 'the')) - 1 AS BIGINT) AS matches FROM documents")
+def search_count(spark, d):
+    return search.count(_docs(spark, d), pattern("the", "ascii"), key="doc_id")
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, 'anan')) - 1 AS BIGINT) AS matches FROM documents")
+def search_no_overlap(spark, d):
+    return search.count(_docs(spark, d), Exact(b"anan"), no_overlap=True, key="doc_id")
+
+
+_LEAD = "SELECT doc_id, CAST(k AS BIGINT) AS \"offset\" FROM (SELECT doc_id, k, h, lead(h, 1) OVER w AS h1, lead(h, 2) OVER w AS h2, lead(h, 3) OVER w AS h3 FROM " + _EACH + " WINDOW w AS (PARTITION BY doc_id ORDER BY k)) WHERE {}"
+
+
+@query(_LEAD.format("h = '61' AND h1 = '6e' AND h2 = '61' AND h3 = '6e'"))
+def search_overlapping(spark, d):
+    return search.search(_docs(spark, d), Exact(b"anan"), key="doc_id").select("doc_id", "offset")
+
+
+@query(_LEAD.format("h = '61' AND h1 = '6e' AND h2 = '61' AND h3 = '6e'"))
+def search_chunked(spark, d):
+    return search.search_chunked(_docs(spark, d), Exact(b"anan"), chunk=4096, key="doc_id")
+
+
+@query(_LEAD.format("h = '74' AND h2 = '65'"))
+def search_mask(spark, d):
+    return search.search(_docs(spark, d), pattern("74 ?? 65", "mask"), key="doc_id").select("doc_id", "offset")
+
+
+@query(f"SELECT doc_id, {_AT} AS \"offset\", CASE WHEN {_AT} >= 2 THEN {_HEX}[2 * {_AT} - 3 : 2 * {_AT}] ELSE {_HEX}[1 : 2 * {_AT}] END AS before, {_HEX}[2 * {_AT} + 7 : 2 * {_AT} + 10] AS after FROM {_SPLIT}")
+def search_context(spark, d):
+    found = search.search(_docs(spark, d), pattern("the", "ascii"), context=2, key="doc_id")
+    return found.select("doc_id", "offset", F.lower(F.hex("before")).alias("before"), F.lower(F.hex("after")).alias("after"))
+
+
+@query("SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+ing')) AS word FROM documents")
+def search_regex(spark, d):
+    return search.search(_docs(spark, d), pattern("[a-z]+ing", "regex"), key="doc_id").select("doc_id", F.decode("match", "UTF-8").alias("word"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(hex(encode(text))), 'c3..')) AS BIGINT) AS matches FROM documents WHERE regexp_matches(text, '[\\x{C0}-\\x{FF}]')")
+def search_hex_regex(spark, d):
+    return search.search(_docs(spark, d), pattern("C3 .", "hex-regex"), key="doc_id").groupBy("doc_id").agg(F.count("*").alias("matches"))
+
+
+def _grouped(block: str) -> str:
+    return (
+        f"c AS (SELECT doc_id, {block} AS o, h, count(*) AS n FROM {_EACH} GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, o) AS t FROM c), "
+        "m AS (SELECT doc_id, CAST(o AS BIGINT) AS \"offset\", CAST(sum(n) AS BIGINT) AS size, -sum(n / t * log2(n / t)) AS entropy, coalesce(CAST(sum(n * (n - 1)) AS DOUBLE) / nullif(max(t * (t - 1)), 0), 0) AS ic FROM s GROUP BY 1, 2)"
+    )
+
+
+for _name, _block, _size in (("whole", "0", 0), ("blocks", "k // 256 * 256", 256)):
+    for _measure, _places in (("entropy", 6), ("ic", 8)):
+        QUERIES[f"{_measure}_{_name}"] = lambda spark, d, m=_measure, p=_places, s=_size: analyze.blocks(_docs(spark, d), s, "doc_id").select("doc_id", "offset", "size", (F.round(m, p) + 0.0).alias(m))
+        ORACLE_SQL[f"{_measure}_{_name}"] = f"WITH {_grouped(_block)} SELECT doc_id, \"offset\", size, round({_measure}, {_places}) + 0.0 AS {_measure} FROM m"
+
+
+@query(f"WITH {_grouped('0')} SELECT CASE WHEN entropy < 1 THEN 'highly repetitive/uniform' WHEN entropy < 4 THEN 'structured data/text/code' WHEN entropy < 6 THEN 'mixed content' WHEN entropy < 7.5 THEN 'likely compressed' ELSE 'encrypted or random' END AS class, count(*) AS blobs, round(avg(entropy), 5) AS mean FROM m GROUP BY 1")
+def entropy_classes(spark, d):
+    found = analyze.blocks(_docs(spark, d), 0, "doc_id")
+    return found.groupBy(analyze.entropy_class(F.col("entropy")).alias("class")).agg(F.count("*").alias("blobs"), F.round(F.avg("entropy"), 5).alias("mean"))
+
+
+@query(f"WITH {_grouped('0')} SELECT CASE WHEN ic < 0.006 THEN 'random/encrypted' WHEN ic < 0.02 THEN 'possibly compressed' WHEN ic < 0.05 THEN 'structured binary' ELSE 'text-like patterns' END AS class, count(*) AS blobs FROM m GROUP BY 1")
+def ic_classes(spark, d):
+    return analyze.blocks(_docs(spark, d), 0, "doc_id").groupBy(analyze.ic_class(F.col("ic")).alias("class")).agg(F.count("*").alias("blobs"))
+
+
+@query(f"WITH {_grouped('k // 256 * 256')} SELECT count(*) AS blocks, round(min(entropy), 6) AS least, round(max(entropy), 6) AS most, round(avg(entropy), 5) AS mean FROM m")
+def entropy_summary(spark, d):
+    return analyze.summary(analyze.blocks(_docs(spark, d), 256, "doc_id")).select("blocks", F.round("least", 6).alias("least"), F.round("most", 6).alias("most"), F.round("mean", 5).alias("mean"))
+
+
+_PAGE_BYTES = f"(SELECT {_ORDINAL.format('h')} AS byte FROM (SELECT unnest({_BYTES.format('html')}) AS h FROM pages))"
+_HISTOGRAM = f"SELECT byte, count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS percentage FROM {_PAGE_BYTES} GROUP BY 1"
+
+
+@query(_HISTOGRAM)
+def histogram(spark, d):
+    return analyze.histogram(_pages(spark, d)).withColumn("percentage", F.round("percentage", 4))
+
+
+@query(f"SELECT CAST(r AS INTEGER) AS byte, coalesce(count, 0) AS count, coalesce(percentage, 0) AS percentage FROM range(256) t(r) LEFT JOIN ({_HISTOGRAM}) x ON r = byte")
+def histogram_full(spark, d):
+    return analyze.histogram(_pages(spark, d), full=True).withColumn("percentage", F.round("percentage", 4))
+
+
+@query(f"SELECT *, repeat('█', CAST(least(round(percentage / 2), 25) AS INTEGER)) AS bar FROM ({_HISTOGRAM}) ORDER BY count DESC, byte LIMIT 20")
+def histogram_top20(spark, d):
+    return analyze.top(analyze.histogram(_pages(spark, d)).withColumn("percentage", F.round("percentage", 4)))
+
+
+for _algo in ("md5", "sha1", "sha256"):
+    QUERIES[f"hash_{_algo}"] = lambda spark, d, a=_algo: _docs(spark, d).select("doc_id", digest.digest(F.col("data"), a).alias("digest"))
+    ORACLE_SQL[f"hash_{_algo}"] = f"SELECT doc_id, {_algo}(encode(text)) AS digest FROM documents"
+for _algo in ("crc32", "xxhash64", "blake3"):
+    QUERIES[f"hash_{_algo}"] = lambda spark, d, a=_algo: blobs.from_text(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id", "text").select(F.col("blob_id").alias("item_id"), digest.digest(F.col("data"), a).alias("digest"))
+
+
+@query("SELECT doc_id, base64(unhex(md5(encode(text)))) AS digest FROM documents")
+def hash_base64(spark, d):
+    return _docs(spark, d).select("doc_id", digest.digest(F.col("data"), "md5", "base64").alias("digest"))
+
+
+@query(f"SELECT doc_id, CAST(s AS BIGINT) AS \"offset\", md5(unhex({_HEX}[2 * s + 1 : 2 * s + 2048])) AS digest FROM (SELECT doc_id, text, unnest(range(0, strlen(text), 1024)) AS s FROM documents)")
+def hash_blocks(spark, d):
+    return digest.block_digests(_docs(spark, d), "md5", 1024, "doc_id")
+
+
+@query("SELECT count_if(doc_id % 7 <> 0) AS passed, count_if(doc_id % 7 = 0) AS failed FROM documents")
+def hash_check(spark, d):
+    named = _docs(spark, d).withColumn("name", F.concat(F.lit("doc-"), F.col("doc_id")))
+    made = F.sha2("data", 256)
+    wrong = F.when(F.col("doc_id") % 7 == 0, F.translate(made, "0123456789abcdef", "123456789abcdef0")).otherwise(made)
+    manifest = digest.parse_manifest(named.select(F.concat(wrong, F.lit("  "), F.col("name")).alias("value")))
+    return digest.check_summary(digest.check(manifest, named, "sha256"))
+
+
+def _pairs(spark, d):
+    """Each document and the one that follows by id."""
+    docs = _docs(spark, d)
+    return docs.select(F.col("doc_id").alias("pair_id"), F.col("data").alias("a")).join(docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("data").alias("b")), "pair_id")
+
+
+_PAIRS = f"(SELECT x.doc_id AS pair_id, unnest(range(greatest(len(x.p), len(y.p)))) AS k, x.p AS a, y.p AS b FROM (SELECT doc_id, {_DOC} AS p FROM documents) x JOIN (SELECT doc_id - 1 AS doc_id, {_DOC} AS p FROM documents) y USING (doc_id))"
+_BOTH = (
+    f"e AS (SELECT pair_id, k, a.h AS byte1, b.h AS byte2 FROM (SELECT doc_id AS pair_id, k, h FROM {_EACH} WHERE doc_id + 1 IN (SELECT doc_id FROM documents)) a "
+    f"FULL JOIN (SELECT doc_id - 1 AS pair_id, k, h FROM {_EACH} WHERE doc_id - 1 IN (SELECT doc_id FROM documents)) b USING (pair_id, k) WHERE a.h IS DISTINCT FROM b.h)"
+)
+
+
+@query(f"WITH {_BOTH} SELECT pair_id, count(*) AS total, count(*) FILTER (WHERE byte1 IS NOT NULL AND byte2 IS NOT NULL) AS changes, count(*) FILTER (WHERE byte1 IS NULL) AS additions, count(*) FILTER (WHERE byte2 IS NULL) AS deletions FROM e GROUP BY 1")
+def diff_summary(spark, d):
+    return diff.summary(diff.entries(_pairs(spark, d)))
+
+
+@query(f"WITH {_BOTH} SELECT pair_id, count(*) AS total, CAST(sum(k) AS BIGINT) AS places, min('0x' || printf('%08x', k) || ':' || coalesce(byte1, '') || ':' || coalesce(byte2, '')) AS first FROM e GROUP BY 1")
+def diff_patch_lines(spark, d):
+    return diff.patch_lines(diff.entries(_pairs(spark, d))).groupBy("pair_id").agg(F.count("*").alias("total"), F.sum("offset").alias("places"), F.min("line").alias("first"))
+
+
+@query(f"WITH {_BOTH} SELECT pair_id, count(*) AS total FROM e WHERE NOT k BETWEEN 0 AND 15 AND k <> 32 GROUP BY 1")
+def diff_ignore(spark, d):
+    return diff.entries(_pairs(spark, d), "0..0x10,32").groupBy("pair_id").agg(F.count("*").alias("total"))
+
+
+@query()
+def diff_hunks(spark, d):
+    return diff.hunks(diff.entries(_pairs(spark, d)))
+
+
+@query("SELECT x.doc_id AS pair_id, md5(encode(y.text)) AS digest, CAST(NULL AS VARCHAR) AS error FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1")
+def patch_apply(spark, d):
+    pairs = _pairs(spark, d)
+    patches = diff.grouped(diff.entries(pairs))
+    return diff.apply(pairs.join(patches, "pair_id", "left")).select("pair_id", F.md5("data").alias("digest"), "error")
+
+
+@query("SELECT x.doc_id AS pair_id, md5(encode(x.text)) AS digest, CAST(NULL AS VARCHAR) AS error FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1")
+def patch_revert(spark, d):
+    pairs = _pairs(spark, d)
+    patches = diff.grouped(diff.entries(pairs))
+    return diff.apply(pairs.join(patches, "pair_id", "left"), data="b", revert=True).select("pair_id", F.md5("data").alias("digest"), "error")
+
+
+@query("SELECT doc_id, md5(encode(replace(text, chr(10), chr(13) || chr(10)))) AS digest FROM documents")
+def convert_windows(spark, d):
+    return _md5(convert.convert(_docs(spark, d), line_ends="windows"))
+
+
+@query("SELECT doc_id, md5(encode(chr(65279) || text)) AS digest FROM documents")
+def convert_bom(spark, d):
+    return _md5(convert.convert(_docs(spark, d), bom="add"))
+
+
+@query("SELECT doc_id, md5(encode(text)) AS digest FROM documents")
+def convert_utf16_round_trip(spark, d):
+    there = convert.convert(_docs(spark, d), target="utf-16le", bom="add").drop("error")
+    return _md5(convert.convert(there, source="utf-16le", bom="remove"))
+
+
+@query("SELECT doc_id, md5(encode(text)) AS digest FROM documents")
+def convert_1252_round_trip(spark, d):
+    there = convert.convert(_docs(spark, d), target="latin-1", on_error="replace").drop("error")
+    return _md5(convert.convert(there, source="windows-1252"))
+
+
+_ITEM = """
+name: item
+endian: {}
+fields:
+  - {{name: order, type: u64}}
+  - {{name: part, type: u32}}
+  - {{name: line, type: u8, enum: {{1: first}}}}
+  - {{name: double, type: computed, value: $line * 2 + 1}}
+"""
+for _endian in ("big", "little"):
+
+    def _packed(spark, d, endian=_endian):
+        items = spark.read.parquet(f"{d}/lineitem.parquet")
+        data = blobs.packed(("l_orderkey", 8), ("l_partkey", 4), ("l_linenumber", 1), little=endian == "little")
+        parsed = template.parse(items.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("blob_id"), data.alias("data")), template.load(_ITEM.format(endian)))
+        return parsed.groupBy("name").agg(F.count("*").alias("fields"), F.sum(F.col("number")).cast("bigint").alias("total"), F.count_if(F.col("value").contains("first")).alias("named"), F.count("error").alias("errors"))
+
+    QUERIES[f"struct_{_endian}"] = _packed
+    ORACLE_SQL[f"struct_{_endian}"] = (
+        "SELECT name, count(*) AS fields, CAST(sum(v) AS BIGINT) AS total, count_if(name = 'line' AND v = 1) AS named, CAST(0 AS BIGINT) AS errors FROM (SELECT unnest(['order', 'part', 'line', 'double']) AS name, "
+        "unnest([l_orderkey, l_partkey, l_linenumber, l_linenumber * 2 + 1]) AS v FROM lineitem) GROUP BY 1"
+    )
+
+_ORDER = """
+name: order
+endian: little
+fields:
+  - {name: length, type: u16}
+  - {name: priority, type: string, size: $length}
+  - {name: key, type: u64}
+  - {name: odd, type: computed, value: $key % 2}
+  - {name: again, type: u8, offset: $@prev_end - 8, when: $odd == 1}
+  - {name: flags, type: u8, offset: 2, bitfields: [{name: low, bits: 0..3}, {name: top, bits: 7}]}
+  - {name: head, type: u8, offset: 2, bit_offset: 4, bit_size: 4}
+  - {name: parts, type: u8, offset: 2, count: 3}
+"""
+
+
+@query(
+    "SELECT name, count(*) AS fields, CAST(sum(v) AS BIGINT) AS total FROM (SELECT unnest(['length', 'priority', 'key', 'odd', 'again', 'flags', 'flags.low', 'flags.top', 'head', 'parts[0]', 'parts[1]', 'parts[2]']) AS name, "
+    "unnest([strlen(o_orderpriority), NULL, o_orderkey, o_orderkey % 2, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey & 255 ELSE -1 END, c, c & 15, c >> 7, c >> 4, c, ascii(o_orderpriority[2]), ascii(o_orderpriority[3])]) AS v "
+    "FROM (SELECT *, ascii(o_orderpriority) AS c FROM orders)) WHERE v IS NULL OR v >= 0 GROUP BY 1"
+)
+def struct_dynamic(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet").withColumn("n", F.octet_length("o_orderpriority"))
+    data = F.concat(blobs.packed(("n", 2), little=True), F.encode("o_orderpriority", "UTF-8"), blobs.packed(("o_orderkey", 8), little=True))
+    parsed = template.parse(orders.select(F.col("o_orderkey").alias("blob_id"), data.alias("data")), template.load(_ORDER))
+    return parsed.groupBy("name").agg(F.count("*").alias("fields"), F.sum("number").cast("bigint").alias("total"))
+
+
+@query(f"SELECT doc_id, md5(unhex({_HEX}[1:2] || 'aabb' || {_HEX}[7:8])) AS digest FROM documents WHERE strlen(text) >= 4")
+def chain_edits(spark, d):
+    made = edit.chain(_docs(spark, d), lambda x: edit.read(x, "0..4").drop("error"), lambda x: edit.replace(x, "1..3", b"\xaa\xbb").drop("error"))
+    return _md5(made.where("data is not null"))
+
+
+_MAPS = ["00001000-00003000 r-xp 00000000 08:01 7 /bin/a", "00003000-00004000 rw-p 00000000 00:00 0", "00008000-00009000 r--p 00000000 08:01 9 /lib/b"]
+
+
+def _regions(spark):
+    return regions.parse_maps(spark.createDataFrame([(x,) for x in _MAPS], "value string"))
+
+
+_REGIONS = "(VALUES (4096, 12288, '/bin/a'), (12288, 16384, NULL), (32768, 36864, '/lib/b')) r(s, e, path)"
+
+
+@query(f"SELECT p_partkey, path FROM part LEFT JOIN {_REGIONS} ON p_partkey * 7 >= s AND p_partkey * 7 < e")
+def regions_lookup(spark, d):
+    asked = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_partkey") * 7).cast("decimal(20,0)").alias("address"))
+    return regions.lookup(asked, _regions(spark)).select("p_partkey", "path")
+
+
+@query(f"SELECT p_partkey, CAST(sum(greatest(least(e, p_partkey * 7 + 5000) - greatest(s, p_partkey * 7), 0)) AS BIGINT) AS held, CAST(5000 AS BIGINT) AS size FROM part, {_REGIONS} GROUP BY 1")
+def sparse_read(spark, d):
+    asked = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("request_id"), (F.col("p_partkey") * 7).cast("decimal(20,0)").alias("start"), (F.col("p_partkey") * 7 + 5000).cast("decimal(20,0)").alias("end"))
+    n = (F.col("end") - F.col("start")).cast("bigint")
+    return regions.sparse_read(asked, _regions(spark), "zero").groupBy(F.col("request_id").alias("p_partkey")).agg(F.sum(F.when(F.col("kind") == "data", n).otherwise(0)).alias("held"), F.sum(n).alias("size"))
+
+
+def _streamed(spark, df: DataFrame, mode: str) -> DataFrame:
+    """The result of a stream once all that is there has been read."""
+    name = f"octoplex_{uuid.uuid4().hex}"
+    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def _props(spark, d):
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+
+
+@query(f"SELECT {_ORDINAL.format('h')} AS byte, count(*) AS count FROM (SELECT unnest({_BYTES.format('props')}) AS h FROM events) GROUP BY 1")
+def stream_histogram(spark, d):
+    return _streamed(spark, streams.histogram(_props(spark, d).select(F.encode("props", "UTF-8").alias("data"))), "complete")
+
+
+@query("SELECT event_id AS stream_id, CAST(strpos(props, '\"k\"') - 1 AS BIGINT) AS \"offset\" FROM events WHERE props LIKE '%\"k\"%'")
+def stream_search(spark, d):
+    chunks = _props(spark, d).select(F.col("event_id").alias("stream_id"), F.lit(0).cast("bigint").alias("seq"), F.encode("props", "UTF-8").alias("data"))
+    return _streamed(spark, streams.search(chunks, pattern('"k"', "ascii")), "append")
