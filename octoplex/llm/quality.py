@@ -17,6 +17,8 @@ from .common import row_groups
 
 #: Labelled rows that a fit reads at most, chosen by a hash of doc_id. The model has a few thousand table entries.
 MAX_TRAIN_ROWS = 20_000
+#: Bytes of text whose features are computed at once. The arrays take about 40 times as much.
+GROUP_BYTES = 1 << 20
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "longest_word", "upper", "digit", "space", "newline", "non_ascii",
@@ -97,6 +99,8 @@ def text_features(texts: pa.Array) -> np.ndarray:
         line_ends = np.concatenate((line_starts[1:], [len(data)]))
         line_owner = np.minimum(np.searchsorted(bounds, line_starts, side="right") - 1, n - 1)
         out["line_kinds"] = _kinds(line_owner, _span_hashes(prefix, line_starts, line_ends), n)
+        if len(_powers[0]) > 2 * GROUP_BYTES:  # of a single long text
+            _powers[:] = [x[:GROUP_BYTES].copy() for x in _powers]
     return np.column_stack([out[name] for name in FEATURES])
 
 
@@ -229,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, la
 
     def rows(batches):
         for batch in batches:
-            for part in row_groups(batch, 0):
+            for part in row_groups(batch, 0, GROUP_BYTES):
                 x = text_features(part.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1)], names=["x", "y"])
 
@@ -253,7 +257,7 @@ def score_documents(docs: DataFrame, model: PairwiseGam, column: str = "quality_
 
     def rows(batches):
         for batch in batches:
-            for part in row_groups(batch, at):
+            for part in row_groups(batch, at, GROUP_BYTES):
                 score = shared.value.score(text_features(part.column(at)))
                 kept = [part.column(k) for k in back]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], names=schema.names)
