@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,14 +40,18 @@ def content_address(versions: DataFrame) -> DataFrame:
     return versions.withColumn("blob", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
 
 
+def _may_match(rules: tuple[Rule, ...]) -> Column:
+    """Is there a match of any rule, of whatever length? False for a null text."""
+    return F.coalesce(F.col("text").rlike("|".join(f"(?:{r.pattern})" for r in rules)), F.lit(False))
+
+
 def find_spans(texts: DataFrame, key: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(key, kind, kind_order, start, end): the spans, in code points, in each text.
 
     For each rule a text is cut at its leftmost non-overlapping matches; the running length of the pieces and matches
     gives the positions. Texts without a match are dropped before anything is cut.
     """
-    any_rule = "|".join(f"(?:{r.pattern})" for r in rules)
-    texts = texts.where(F.col("text").rlike(any_rule))
+    texts = texts.where(_may_match(rules))
     cuts = F.array(*[
         F.struct(
             F.lit(r.kind).alias("kind"), F.lit(k).alias("kind_order"), F.lit(r.least).alias("least"),
@@ -107,10 +111,13 @@ def digests(found: DataFrame, *columns: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every finding replaced by a mark and n_chars counted anew; all rows stay, null texts as they are."""
+    """docs with every finding replaced by a mark and n_chars counted anew; all rows stay, null texts as they are.
+
+    Only the rows that may have a finding meet the findings; the others pass without a shuffle.
+    """
     found, _ = scan_unseen(docs, "doc_id")
     hits = cut(found.where(F.size("findings") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.first("findings").alias("_findings")))
-    rows = docs.withColumn("_address", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).join(hits, F.col("_address") == F.col("_blob"), "left")
+    rows = docs.where(_may_match(RULES)).withColumn("_address", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).join(hits, F.col("_address") == F.col("_blob"), "left")
     merged = F.aggregate(
         F.array_sort(F.transform("_findings", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))),
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
@@ -123,7 +130,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     text = F.when(F.col("_findings").isNull(), F.col("text")).otherwise(merged)
     out = rows.withColumn("_clean", text)
     columns = [F.col("_clean").alias("text") if c == "text" else F.when(F.col("_findings").isNull(), F.col(c)).otherwise(F.length("_clean")).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return out.select(*columns)
+    return out.select(*columns).union(docs.where(~_may_match(RULES)))
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
