@@ -426,6 +426,17 @@ def _cut_documents(batch: pa.Table, marks: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids, pa.int64()), pa.array(np.diff(bounds)), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary())], schema=schema)
 
 
+def _stored_bytes(docs: DataFrame) -> int:
+    """Bytes of the files behind docs; where a source has no known size, bytes of text, which takes one more scan."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    unknown = int(docs.sparkSession.sparkContext._jvm.java.lang.Long.MAX_VALUE)
+    if any(size >= unknown for size in sizes):
+        return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(sum(sizes), int(str(plan.stats().sizeInBytes())))  # joins multiply sizes
+
+
 def remove_repeats(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept): the removed runs and the bytes that are left, for each row of docs.
 
@@ -435,7 +446,7 @@ def remove_repeats(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    stored = _stored_bytes(docs)
     buckets = int(min(max(-(-stored // BUCKET_BYTES), 8), 100_000))
     name = f"octoplex_{uuid.uuid4().hex}"
     packed = docs.mapInArrow(_pack(BATCH_BYTES), "batch bigint, ids array<bigint>, texts array<binary>")
