@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from octoplex.llm import chat, decontaminate, graph, html, licenses, mixing, quality, secrets, simhash, spotsigs, substrings
+from octoplex.llm import chat, decontaminate, graph, html, jaccard, licenses, mixing, quality, secrets, simhash, spotsigs, substrings
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -61,6 +61,39 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs(spark, "x", ids=[1]).where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("sample", [20_000, 5])
+def test_jaccard_components_match_brute_force(spark, sample, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE_DOCS", sample)
+    rng = random.Random(3)
+    line, texts = words(rng, 12), []
+    for n in (5, 6, 9, 14, 30, 60, 60, 120):
+        base = words(rng, n).split()
+        for k in range(9):
+            copy = [words(rng, 1) if rng.random() < 0.004 * k else w for w in base] + words(rng, rng.randrange(1 + n // 8)).split()
+            texts.append(" ".join(copy) + f" {line}" * (k % 2))
+    texts += [line] * 4 + [line.upper(), "a b", "a b c", "A\tb", "", None, " "]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a == b or len(a & b) / len(a | b) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert 20 < len(set(root)) < len(texts) - 15
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs(spark, *texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == root
+
+
+def test_jaccard_ids(spark):
+    df = docs(spark, "a b", "c d", "A B", "c d", "e", "e", "f", ids=[4, 4, 2, 9, None, None, 7])
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard.near_duplicates(df).collect())
+    assert got == [(0, 0), (0, 0), (2, 2), (4, 2), (4, 2), (7, 7), (9, 2)]
+    assert jaccard.near_duplicates(df.where("doc_id < 0")).count() == 0
+
+
 def test_wu_manber_matches_brute_force(spark):
     rng = random.Random(4)
     items = [(str(k), words(rng, n).encode()) for k, n in enumerate((20, 8, 3, 1, 0))]
