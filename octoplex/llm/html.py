@@ -29,10 +29,15 @@ RAW_ENDS = frozenset("script style textarea title iframe noscript".split())
 CLOSED_BY = {"p": "p", "li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "option": "option"}
 SIDE_TAGS = frozenset("nav aside footer form menu dialog search".split())
 MAIN_TAGS = frozenset("article main".split())
+#: Elements whose class names never make them a side part.
+WHOLE_TAGS = frozenset("html body article main".split())
+# A side name is a whole class or id, or one made of a side name and words that only say where or what shape.
+_PLACES = r"(?:site|page|main|global|primary|secondary|top|bottom|left|right|upper|lower|post|entry|article|story|content|author|inline)"
+_SHAPES = r"(?:areas?|bars?|blocks?|box(?:es)?|columns?|containers?|content|form|inner|items?|left|right|top|bottom|links?|lists?|menu|nav|panels?|posts|articles|stories|sections?|slots?|units?|widgets?|wrap|wrapper|buttons?|icons?|\d+)"
 _SIDE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe\w*|signup|login|"
+    rf"(?:{_PLACES}[-_]+(?!header))*(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe\w*|signup|login|"
     r"nav\w*|menu\w*|breadcrumb\w*|pager|pagination|side\w*|rail|widget\w*|related\w*|recommend\w*|more-?(?:links|stories)|share\w*|social\w*|toolbar|"
-    r"foot\w*|copyright|legal|masthead|site-?header|page-?header|topbar|header|comments?|comment-?\w*|replies|reply|respond|disqus|reactions|tags?|meta|byline-links|outbrain|taboola|skip\w*)(?:$|[-_\s])",
+    rf"foot\w*|copyright|legal|masthead|site-?header|page-?header|topbar|header|comments?|comment-?\w*|replies|reply|respond|disqus|reactions|tags?|meta|byline-links|outbrain|taboola|skip\w*)(?:[-_]+{_SHAPES})*",
     re.I,
 )
 _MAIN_NAMES = re.compile(r"(?:^|[-_\s])(?:article|article-?(?:body|content|text)|post|post-?(?:body|content|text)|entry|entry-?content|content|main|main-?content|story|story-?body|body-?text)(?:$|[-_\s])", re.I)
@@ -53,29 +58,32 @@ class Block:
         self.links = min(1.0, linked / max(1, self.words))
 
 
-def _judge(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """Does the element open a main part; does it open a side part?"""
-    main, side = tag in MAIN_TAGS, tag in SIDE_TAGS or (tag == "header" and not in_main)
+def _judge(tag: str, attributes: str, in_main: bool) -> tuple[bool, int]:
+    """Does the element open a main part; does it open a side part, by its name only (1) or by what it is (2)?"""
+    main, side, named = tag in MAIN_TAGS, tag in SIDE_TAGS or (tag == "header" and not in_main), False
+    explicit = main
     if attributes and "=" in attributes or " hidden" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value, name = "".join(values), name.lower()
             if name in ("class", "id"):
-                if _SIDE_NAMES.search(value):
-                    side = True
-                elif _MAIN_NAMES.search(value):
-                    main = True
+                # A whole main name counts for more than a side name beside it; a part of a name does not.
+                tokens = value.split()
+                named = named or tag not in WHOLE_TAGS and any(map(_SIDE_NAMES.fullmatch, tokens))
+                explicit = explicit or any(map(_MAIN_NAMES.fullmatch, tokens))
+                main = main or any(map(_MAIN_NAMES.search, tokens))
             elif name == "role":
                 side = side or value.lower() in _ROLES
                 main = main or value.lower() in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 side = True
-    return main and not side, side
+    named = named and not explicit
+    return main and not side and not named, 2 if side else int(named)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order. Tags need not be closed or well nested; a cut-off page gives what it has."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in a main part, in a side part
+    stack: list[tuple[str, bool, int]] = []  # tag, in a main part, in a side part (as _judge says)
     text: list[str] = []
     links: list[str] = []
     state = {"raw": 0, "link": 0, "heading": False}
@@ -139,11 +147,13 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             if tag in BLOCK_TAGS and tag != "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            in_main, in_side = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            in_main, in_side = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             main, side = _judge(tag, attributes, in_main)
             if tag == "article" and in_main and in_side:
                 main = False
-            stack.append((tag, in_main or main, in_side or side))
+            if tag == "main" and in_side == 1:
+                in_side = 0
+            stack.append((tag, in_main or main, max(in_side, side)))
     flush()
     return out
 

@@ -193,6 +193,22 @@ def test_html():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p>") == ""
 
 
+def test_html_side_names_are_whole_names():
+    text = "<h1>Title</h1><p>First words of it</p><p>More words of it</p>"
+    for page in (
+        f"<article class='post-12 post type-post category-news tag-python'>{text}</article>",
+        f"<body class='single with-sidebar'><article>{text}</article></body>",
+        f"<body class='nav menu'><article class='sidebar'>{text}</article></body>",
+        f"<article><div class='article-header'><h1>Title</h1></div>{text[len('<h1>Title</h1>'):]}</article>",
+        f"<div class='post sidebar'>{text}</div>",
+        f"<div class='sidebar'><main>{text}</main></div>",
+    ):
+        assert html.main_text(page) == "Title\n\nFirst words of it\n\nMore words of it", page
+    for name in ("ad", "ad-slot", "sidebar", "left-sidebar", "related-posts", "post-comments", "comment-list", "social-links", "x share", "entry-meta", "site-header", "sidebar content-right"):
+        assert html.main_text(f"<article>{text}<div class='{name}'><p>Other words</p></div></article>").endswith("More words of it"), name
+    assert html.main_text(f"<div hidden><main>{text}</main></div><article><p>Shown</p></article>") == "Shown"
+
+
 def test_licenses(spark):
     found = licenses.scan(docs(spark, "code\nReleased under the MIT License.\nmore", None, "", "The the the the the")).collect()
     assert [(r["doc_id"], r["license"]) for r in found] == [(0, "MIT")]
