@@ -83,7 +83,7 @@ def _judge(tag: str, attributes: str, in_main: bool) -> tuple[bool, int]:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order. Tags need not be closed or well nested; a cut-off page gives what it has."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, in a main part, in a side part (as _judge says)
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, in a main part, in a side part (as _judge says), in a raw element
     text: list[str] = []
     links: list[str] = []
     state = {"raw": 0, "link": 0, "heading": False}
@@ -98,7 +98,7 @@ def blocks(page: str) -> list[Block]:
             links.clear()
 
     def add(piece: str):
-        if piece and not any(t in RAW_TAGS for t, *_ in stack[-8:]):
+        if piece and not (stack and stack[-1][3]):
             text.append(piece)
             if state["link"]:
                 links.append(piece)
@@ -153,7 +153,8 @@ def blocks(page: str) -> list[Block]:
                 main = False
             if tag == "main" and in_side == 1:
                 in_side = 0
-            stack.append((tag, in_main or main, max(in_side, side)))
+            raw = tag in RAW_TAGS or bool(stack and stack[-1][3])
+            stack.append((tag, in_main or main, max(in_side, side), raw))
     flush()
     return out
 

@@ -209,6 +209,12 @@ def test_html_side_names_are_whole_names():
     assert html.main_text(f"<div hidden><main>{text}</main></div><article><p>Shown</p></article>") == "Shown"
 
 
+def test_html_raw_elements_at_any_depth():
+    deep = "<div>" * 12 + "Never shown" + "</div>" * 12
+    for tag in ("template", "svg", "noscript"):
+        assert html.main_text(f"<article><p>Shown words</p><{tag}>{deep}</{tag}><p>And these words</p></article>") == "Shown words\n\nAnd these words"
+
+
 def test_licenses(spark):
     found = licenses.scan(docs(spark, "code\nReleased under the MIT License.\nmore", None, "", "The the the the the")).collect()
     assert [(r["doc_id"], r["license"]) for r in found] == [(0, "MIT")]
