@@ -5,8 +5,9 @@ two sets of similarity t or more share a shingle of both prefixes. So only docum
 only by their whole sets; nothing else decides. The order puts shingles that a sample of the documents holds several
 times last, which keeps the groups small; it has no influence on the result.
 
-In a group that shares a shingle all members are first compared with one of them. What that links needs no further
-comparison, so a large group of copies costs as many comparisons as it has members.
+Members of a group of up to GROUP that share a shingle are compared with each other, those of a larger one first with
+one of them. What that links needs no further comparison, so a large group of copies costs as many comparisons as it
+has members; the others of it are compared afterwards, where they are not linked by then.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ WIDTH = 5
 THRESHOLD = 0.8
 #: Documents sampled, and shingles listed, for the order of the shingles.
 SAMPLE_DOCS, LISTED = 5_000, 200_000
+#: Members of a group that are all compared at once.
+GROUP = 8
+#: Ids (of 8 bytes) that are broadcast to a scan of the texts at most; more are joined by shuffling.
+BROADCAST_IDS = 2_000_000
 _ROUND = 1e-9
 
 
@@ -33,7 +38,7 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """The distinct 64-bit hashes of the text's runs of `width` words, sorted; of a shorter text, of all its words."""
     from xxhash import xxh64_intdigest
 
-    words = text.lower().split()  # as the fingerprints of simhash
+    words = text.lower().split()  # as the fingerprints of simhash: bytes, of which only A-Z change
     if not words:
         return np.zeros(0, np.int64)
     if len(words) < width:
@@ -55,14 +60,14 @@ def _digest(found: np.ndarray) -> int:
     return int(np.array([xxh64_intdigest(found.tobytes(), 42)], np.uint64).view(np.int64)[0]) if len(found) else 0
 
 
-def _mapped(docs: DataFrame, width: int, choose, schema: str) -> DataFrame:
+def _mapped(docs: DataFrame, width: int, choose, schema: str, kind=pa.int64()) -> DataFrame:
     """For each row the doc_id, the digest of its set, the size of the set, and what `choose` takes of the set."""
 
     def rows(batches):
         for batch in batches:
             for part in row_groups(batch, 1, 1 << 20):
                 found = [shingles(x or b"", width) for x in part.column(1).cast(pa.large_binary()).to_pylist()]
-                columns = [pa.array([_digest(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([choose(x) for x in found], pa.list_(pa.int64()))]
+                columns = [pa.array([_digest(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([choose(x) for x in found], pa.list_(kind))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "digest", "n", "items"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
@@ -99,25 +104,34 @@ def prefixes(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     return _mapped(docs, width, choose, _SCHEMA)
 
 
-def _may_reach(a: str, b: str, threshold: float) -> Column:
+def _may_reach(a, b, threshold: float) -> Column:
     """Whether sets whose first common shingle is the one at these places can be that similar."""
-    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(x - F.col(f"{a}.place"), y - F.col(f"{b}.place"))
+    x, y = a["n"], b["n"]
+    rest = F.least(x - a["place"], y - b["place"])
     return (F.least(x, y) >= threshold * F.greatest(x, y) - _ROUND) & (rest >= threshold / (1 + threshold) * (x + y) - _ROUND)
 
 
+def _sets(asked: DataFrame, groups: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(digest, items) of the digests asked for: their sets, by the lower 32 bits of the shingles' hashes.
+
+    A count of common shingles can be one too large by that, for one pair of 400 shingles in some 25,000.
+    """
+    ids = cut(groups.join(asked, "digest").select(F.col("id").alias("doc_id")).distinct())
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    made = _mapped(texts, width, lambda x: x.astype(np.int32), "doc_id bigint, digest bigint, n bigint, items array<int>", pa.int32())
+    return made.select("digest", "items")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, groups: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Of the pairs (u, v) of digests those whose whole sets are similar."""
-    pairs = cut(pairs)
+    """Of the distinct pairs (u, v) of digests those whose whole sets are similar."""
     asked = pairs.select(F.col("u").alias("digest")).union(pairs.select(F.col("v").alias("digest"))).distinct()
-    asked = cut(groups.join(asked, "digest").select("digest", "id"))
-    texts = docs.select("doc_id", "text").join(asked.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = cut(_mapped(texts, width, lambda x: x, _SCHEMA).select("digest", "items"))
+    sets = cut(_sets(asked, groups, docs, width).dropDuplicates(["digest"]))
     a, b = (sets.select(F.col("digest").alias(k), F.col("items").alias(f"{k}_items")) for k in "uv")
-    both = pairs.join(a, "u").join(b, "v")
+    both = pairs.select("u", "v").join(a, "u").join(b, "v")
     common = F.size(F.array_intersect("u_items", "v_items"))
-    out = cut(both.where(common / (F.size("u_items") + F.size("v_items") - common) >= threshold).select("u", "v").distinct())
-    discard(pairs, asked, sets)
+    out = cut(both.where(common >= F.lit(threshold) * (F.size("u_items") + F.size("v_items") - common) - _ROUND).select("u", "v"))
+    discard(sets)
     return out
 
 
@@ -125,22 +139,32 @@ def near_pairs(prints: DataFrame, groups: DataFrame, docs: DataFrame, width: int
     """Links (u, v) between the digests of similar sets; every similar pair is joined directly or through others."""
     items = prints.join(groups.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("items").alias("items"))
     each = items.select("digest", "n", F.posexplode("items").alias("place", "item"))
-    # Most items stand in one set only and end here, after the one shuffle that all of them take part in.
-    shared = cut(each.withColumn("m", F.count("*").over(Window.partitionBy("item"))).where("m > 1").drop("m"))
-    hubs = cut(shared.groupBy("item").agg(F.min(F.struct("digest", "n", "place")).alias("hub")))
-    ends = (F.least("h.digest", "e.digest").alias("u"), F.greatest("h.digest", "e.digest").alias("v"))
-    flat = hubs.select("item", "hub.*")
-    stars = flat.alias("h").join(shared.alias("e"), "item").where(F.col("h.digest") != F.col("e.digest")).where(_may_reach("h", "e", threshold))
-    stars = cut(stars.select(*ends).distinct())
-    links = _verified(stars, docs, groups, width, threshold)
+    # Most items stand in one set only and end here, after the one shuffle that all of them take part in. The others
+    # bring along whom they are compared with: those before them in a small group, the first of a large one.
+    order = Window.partitionBy("item").orderBy("digest")
+    me = F.struct("digest", "n", "place")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    grouped = each.withColumn("m", F.count("*").over(whole)).withColumn("hub", F.first(me).over(whole)).withColumn("before", F.collect_list(me).over(order.rowsBetween(1 - GROUP, -1)))
+    met = F.when(F.col("m") <= GROUP, F.col("before")).otherwise(F.array("hub"))
+    mine = {"n": F.col("n"), "place": F.col("place")}
+    met = F.transform(F.filter(met, lambda x: (x["digest"] != F.col("digest")) & _may_reach(x, mine, threshold)), lambda x: x["digest"])
+    shared = cut(grouped.where("m > 1").select("item", "digest", "n", "place", "m", met.alias("met")))
+    pairs = shared.select(F.explode("met").alias("x"), "digest").select(F.least("x", "digest").alias("u"), F.greatest("x", "digest").alias("v"))
+    pairs = cut(pairs.distinct())
+    links = _verified(pairs, docs, groups, width, threshold)
+    # The members of large groups that are not linked by now.
+    large = shared.where(F.col("m") > GROUP).select("item", "digest", "n", "place")
     roots = cut(components(links))
-    known = cut(shared.join(roots, shared.digest == roots.node, "left").select(shared["*"], F.coalesce("root", "digest").alias("root")))
-    open_items = known.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a <> b and m > 2")
-    known = cut(known.join(open_items.select("item"), "item"))
+    known = cut(large.join(roots, large.digest == roots.node, "left").select(large["*"], F.coalesce("root", "digest").alias("root")))
+    discard(shared)
+    several = known.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    known = cut(known.join(several.select("item"), "item"))
+    ends = (F.least("h.digest", "e.digest").alias("u"), F.greatest("h.digest", "e.digest").alias("v"))
+    h, e = ({k: F.col(f"{x}.{k}") for k in ("n", "place")} for x in "he")
     apart = (F.col("h.digest") < F.col("e.digest")) & (F.col("h.root") != F.col("e.root"))
-    discard(shared, hubs)
-    rest = known.alias("h").join(known.alias("e"), "item").where(apart & _may_reach("h", "e", threshold)).select(*ends).distinct()
-    return links.union(_verified(rest.join(stars, ["u", "v"], "left_anti"), docs, groups, width, threshold))
+    rest = known.alias("h").join(known.alias("e"), "item").where(apart & _may_reach(h, e, threshold)).select(*ends).distinct()
+    rest = cut(rest.join(pairs, ["u", "v"], "left_anti"))
+    return links.union(_verified(rest, docs, groups, width, threshold))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:

@@ -196,6 +196,23 @@ def test_op5(spark, tables):
     assert len(made) == len(set(made)) and set(made) == uses(rows, small)
 
 
+def similar(rows):
+    """The smallest id that links of a Jaccard similarity of 0.8 or more, by five-word shingles, lead to."""
+    sets = {}
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if root[a] > root[b] and jaccard(x, y) >= 0.8:
+                    root[a], changed = root[b], True
+    return root
+
+
 def redacted(text):
     spans = []
     for rule in secrets.RULES:
@@ -213,7 +230,7 @@ def test_pipeline(spark, tables):
     labels = {r[0]: r[1] for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
     scores = model_of(rows, labels).score(quality.text_features(pa.array([t for _, t, _ in rows], pa.string())))
     kept = [r for r, s in zip(rows, scores, strict=True) if s >= 0.5]
-    _, root = components([r[:2] for r in kept])
+    root = similar([r[:2] for r in kept])
     kept = [r for r in kept if root[r[0]] == r[0]]
     kept = [r for r in kept if ITEM not in (r[1] or "").lower() and (r[1] or "").strip() != "one"]
     kept = [(i, redacted(t), s) for i, t, s in kept]
