@@ -8,6 +8,7 @@ to try, and these are compared word by word.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -16,13 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, row_groups, table
+from .common import cut, private, row_groups, table
 
 WINDOW = 8
 #: Words of benchmark text that one pass holds in memory; a larger benchmark is searched for in several passes.
 SLICE_WORDS = 1_000_000
+#: Bytes of text whose words are held at once.
+PIECE_BYTES = 1 << 20
 #: Code points below U+0080 that are no words: all but digits and letters; A-Z become a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -91,25 +95,53 @@ def build(items: list[tuple[str, bytes | None]]) -> list[WuManber]:
     return list(matchers.values())
 
 
+def _word_pieces(text: bytes):
+    """Lists of the words of the text, PIECE_BYTES of it at a time."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE_BYTES
+        if end < len(text):
+            gap = _GAP.search(text, end)
+            end = gap.start() if gap else len(text)
+        yield words_of(text[at:end])
+        at = end
+
+
 def scan(text: bytes | None, matchers: list[WuManber]) -> tuple[int, np.ndarray, np.ndarray, set[int]]:
     """Words of the text, the starts and ends of the word runs that are hit, and the items that occur."""
-    words = words_of(text)
-    spans, windows = [], set()
-    for matcher in matchers:
-        for at, window in matcher.search(words):
-            spans.append((at, at + matcher.length))
-            windows.add((matcher, window))
+    spans, windows, words, base = [], set(), [], 0
+    for piece in _word_pieces(text or b""):
+        kept = words[1 - WINDOW :]  # a window may begin in the piece before
+        base += len(words) - len(kept)
+        words = kept + piece
+        for matcher in matchers:
+            for at, window in matcher.search(words):
+                spans.append((base + at, base + at + matcher.length))
+                windows.add((matcher, window))
+    total = base + len(words)
     items = {i for matcher, window in windows for i in matcher.owners[window]}
     if not spans:
-        return len(words), np.zeros(0, np.int64), np.zeros(0, np.int64), items
+        return total, np.zeros(0, np.int64), np.zeros(0, np.int64), items
     spans.sort()
     starts, ends = np.array(spans, np.int64).T
     ends = np.maximum.accumulate(ends)
     new = np.concatenate(([True], starts[1:] > ends[:-1]))
-    return len(words), starts[new], np.concatenate((ends[:-1][new[1:]], ends[-1:])), items
+    return total, starts[new], np.concatenate((ends[:-1][new[1:]], ends[-1:])), items
+
+
+class _Items(list):
+    """A slice of the benchmark; a worker builds its matchers once."""
 
+    _matchers = None
 
-_HITS = T.StructType().add("n_words", "long").add("starts", T.ArrayType(T.LongType())).add("ends", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType()))
+    def matchers(self) -> list[WuManber]:
+        if self._matchers is None:
+            self._matchers = build(self)
+        return self._matchers
+
+
+#: The added columns.
+ADDED = {"n_words": T.LongType(), "starts": T.ArrayType(T.LongType()), "ends": T.ArrayType(T.LongType()), "items": T.ArrayType(T.StringType())}
 
 
 def _slices(benchmark: DataFrame, slice_words: int):
@@ -119,24 +151,23 @@ def _slices(benchmark: DataFrame, slice_words: int):
     n = max(1, -(-total // (8 * slice_words)))
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield n, [(r["id"], bytes(r["text"])) for r in part.orderBy("id", "text").toLocalIterator()]
+        yield n, _Items((r["id"], bytes(r["text"])) for r in part.orderBy("id", "text").toLocalIterator())
 
 
-def _pass(docs: DataFrame, keep: list[str], items, only_hits: bool) -> DataFrame:
+def _pass(docs: DataFrame, keep: list[str], items: _Items, only_hits: bool, names: list[str]) -> DataFrame:
+    """The columns `keep` of docs with those of ADDED, by the given names."""
     back = [k for k, c in enumerate(docs.columns) if c in keep]
     at = docs.columns.index("text")
-    schema = docs.select(*[docs.columns[k] for k in back]).schema
-    names = [*schema.names, "n_words", "starts", "ends", "items"]
-    schema = T.StructType([*schema.fields, *_HITS.fields])
+    fields = docs.select(*[F.col(f"`{docs.columns[k]}`") for k in back]).schema.fields
+    schema = T.StructType([*fields, *(T.StructField(name, kind) for name, kind in zip(names, ADDED.values(), strict=True))])
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def rows(batches):
-        matchers = build(shared.value)
+        matchers = shared.value.matchers()
         ids = [i for i, _ in shared.value]
         for batch in batches:
             for part in row_groups(batch, at):
-                texts = part.column(at).cast(pa.large_binary()).to_pylist()
-                got = [scan(x, matchers) for x in texts]
+                got = [scan(x.as_py(), matchers) for x in part.column(at).cast(pa.large_binary())]
                 if only_hits:
                     some = [k for k, x in enumerate(got) if x[3]]
                     part, got = part.take(pa.array(some, pa.int64())), [got[k] for k in some]
@@ -144,24 +175,31 @@ def _pass(docs: DataFrame, keep: list[str], items, only_hits: bool) -> DataFrame
                     pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.list_(pa.int64())), pa.array([x[2] for x in got], pa.list_(pa.int64())),
                     pa.array([sorted({ids[i] for i in x[3]}) for x in got], pa.list_(pa.string())),
                 ]
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in back], *found], names=names)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in back], *found], names=schema.names)
 
     return docs.mapInArrow(rows, schema)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, slice_words: int = SLICE_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, slice_words: int = SLICE_WORDS, into: str | None = None) -> DataFrame:
     """docs, or its columns `keep`, with n_words, starts and ends (the word runs hit), and items (ids as strings, sorted).
 
-    A null text has no words. Repeated item ids count once. A benchmark of over `slice_words` words is searched for in
-    several passes, each with a bounded table; the passes' hits meet by document id and text hash.
+    Columns of these names are replaced; with `into`, the four are fields of one column of that name instead and all
+    others stay. A null or empty text has no words. Repeated rows, null ids and other columns pass through. Repeated
+    item ids count once; items without an id or a word are left out. A benchmark of over `slice_words` words is searched
+    for in several passes, each with a bounded table; the passes' hits meet by document id and text hash.
     """
-    keep = list(keep or docs.columns)
-    parts = []
+    replaced = [into] if into else list(ADDED)
+    keep = [c for c in (keep or docs.columns) if c not in replaced]
+    names = private(docs, *(f"_{c}" for c in ADDED))
+    found = [F.col(name).alias(c) for name, c in zip(names, ADDED, strict=True)]
+    shown = [F.struct(*found).alias(into)] if into else found
+    kept = [F.col(f"`{c}`") for c in docs.columns if c in keep]
+    parts, h = [], private(docs, "_h")[0]
     for n, items in _slices(benchmark, slice_words):
         if n == 1:
-            return _pass(docs, keep, items, False)
+            return _pass(docs, keep, items, False, names).select(*kept, *shown)
         hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-        parts.append(cut(_pass(hashed, ["doc_id", "h"], items, True).distinct()))
+        parts.append(cut(_pass(hashed, ["doc_id", "h"], items, True, list(ADDED)).distinct()))
     everything = parts[0]
     for x in parts[1:]:
         everything = everything.union(x)
@@ -174,14 +212,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
         lambda a, r: F.when((F.size(a) > 0) & (F.element_at(a, -1)["ends"] >= r["starts"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["starts"].alias("starts"), F.greatest(F.element_at(a, -1)["ends"], r["ends"]).alias("ends"))))).otherwise(F.concat(a, F.array(r))),
     )
     merged = merged.withColumn("runs", joined).select("doc_id", "h", F.col("runs.starts").alias("starts"), F.col("runs.ends").alias("ends"), "items")
-    counted = docs.withColumn("h", F.xxhash64("text"))
-    empty = _pass(counted, [*docs.columns, "h"], [], False).drop("starts", "ends", "items")
-    out = empty.alias("d").join(merged.alias("m"), (F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("d.h") == F.col("m.h")), "left")
+    empty = _pass(docs.withColumn(h, F.xxhash64("text")), [*keep, "doc_id", h], _Items(), False, names).drop(*names[1:])
+    out = empty.alias("d").join(merged.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col(f"d.{h}") == F.col("m.h")), "left")
     none = "cast(array() as array<{}>)"
-    return out.select(
-        *[F.col(f"d.{c}") for c in docs.columns if c in keep], "d.n_words", F.coalesce("m.starts", F.expr(none.format("bigint"))).alias("starts"),
-        F.coalesce("m.ends", F.expr(none.format("bigint"))).alias("ends"), F.coalesce("m.items", F.expr(none.format("string"))).alias("items"),
-    )
+    made = [F.coalesce(f"m.{c}", F.expr(none.format("string" if c == "items" else "bigint"))).alias(name) for c, name in zip(list(ADDED)[1:], names[1:], strict=True)]
+    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns if c in keep], f"d.{names[0]}", *made).select(*kept, *shown)
 
 
 def with_digests(found: DataFrame, *columns: str) -> DataFrame:

@@ -425,8 +425,9 @@ def extract(pages: DataFrame, column: str = "text") -> DataFrame:
     columns, nulls in them included, stay as they are. A page is held whole, with its text, by one task.
     """
     keep = [c for c in pages.columns if c not in ("html", column)]
-    chosen = pages.select(*keep, "html")
-    schema = pages.select(*keep).schema.add(column, "string")
+    kept = [F.col(f"`{c}`") for c in keep]
+    chosen = pages.select(*kept, "html")
+    schema = pages.select(*kept).schema.add(column, "string")
 
     def rows(batches):
         for batch in batches:

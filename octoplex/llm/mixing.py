@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import cut, private, table
 
 #: Bisection steps that one job takes at once, and jobs.
 STEPS, JOBS = 6, 7
@@ -101,47 +101,52 @@ def mixture(docs: DataFrame, mix: Mix = Mix(), keep: list[str] | None = None) ->
 
     Reading in the order of place interleaves the sources by weight all the way through. Every whole epoch of a source
     has all its documents; the rest of its budget takes blocks in permuted order, and of the block that goes over it the
-    documents, in order of their hash, that begin before the budget ends. Rows with equal id and text share one fate.
-    Columns named like the added ones are replaced. Null texts count as one token, a null source is a source.
+    documents, in order of their hash, that begin before the budget ends. Rows with an equal id share one fate, and so do
+    rows without an id that have equal texts. Columns named like the added ones are replaced, any others stay as they
+    are. Null texts count as one token, a null source is a source.
     """
     columns = [c for c in (keep or docs.columns) if c not in ("epoch", "block", "place")]
     plan, _ = source_plan(docs, mix)
     plan = cut(plan.withColumn("n_blocks", F.ceil(F.col("n_tokens") / mix.block_tokens)))
-    rows = docs.withColumn("_t", tokens(F.col("text"))).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    _t, _k, _s, _block, _epochs, _b, _n, _epoch, _extra = private(docs, "_t", "_k", "_s", "_block", "_epochs", "_b", "_n", "_epoch", "_extra")
+    me = F.coalesce(F.col("d.doc_id").cast("string"), F.concat(F.lit("\x00"), F.md5(F.coalesce(F.col("d.text"), F.lit("")).cast("binary"))))
     named = F.coalesce(F.col("p.source"), F.lit("\x00"))
-    which = F.pmod(_key(F.lit(mix.seed), F.lit("block"), named, F.col("d.doc_id")), F.col("p.n_blocks"))
-    rows = rows.select(*[F.col(f"d.{c}") for c in columns], "_t", named.alias("_s"), which.alias("block"), "p.epochs", "p.n_blocks", F.col("p.budget").alias("_b"), F.col("p.n_tokens").alias("_n"), F.col("d.doc_id").alias("_id"))
+    which = F.pmod(_key(F.lit(mix.seed), F.lit("block"), named, me), F.col("p.n_blocks"))
+    joined = docs.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    placed = joined.select(
+        *[F.col(f"d.`{c}`") for c in columns], tokens(F.col("d.text")).alias(_t), me.alias(_k), named.alias(_s), which.alias(_block),
+        F.col("p.epochs").alias(_epochs), F.col("p.budget").alias(_b), F.col("p.n_tokens").alias(_n),
+    )
     # Block sums, and where in the permutation of the last epoch each block begins.
     sums = cut(
-        docs.withColumn("_t", tokens(F.col("text"))).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-        .select(named.alias("_s"), which.alias("block"), "_t", "p.epochs", "p.n_blocks", (F.col("p.budget") - F.col("p.epochs") * F.col("p.n_tokens")).alias("rest"))
-        .groupBy("_s", "block").agg(F.sum("_t").alias("in_block"), F.first("epochs").alias("epochs"), F.first("n_blocks").alias("n_blocks"), F.first("rest").alias("rest"))
-        .withColumn("turn", _key(F.lit(mix.seed), F.col("epochs"), F.col("_s"), F.col("block")))
+        joined.select(named.alias("s"), which.alias("block"), tokens(F.col("d.text")).alias("t"), "p.epochs", (F.col("p.budget") - F.col("p.epochs") * F.col("p.n_tokens")).alias("rest"))
+        .groupBy("s", "block").agg(F.sum("t").alias("in_block"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
+        .withColumn("turn", _key(F.lit(mix.seed), F.col("epochs"), F.col("s"), F.col("block")))
     )
     # Two levels of prefix sums, so that no task holds a hot source's blocks.
     sums = sums.withColumn("part", F.shiftright("turn", 50))
-    parts = sums.groupBy("_s", "part").agg(F.sum("in_block").alias("n"))
-    parts = parts.withColumn("before_part", F.sum("n").over(Window.partitionBy("_s").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
-    inner = Window.partitionBy("_s", "part").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, 0)
-    begins = sums.withColumn("within", F.sum("in_block").over(inner) - F.col("in_block")).join(parts, ["_s", "part"])
+    parts = sums.groupBy("s", "part").agg(F.sum("in_block").alias("n"))
+    parts = parts.withColumn("before_part", F.sum("n").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
+    inner = Window.partitionBy("s", "part").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, 0)
+    begins = sums.withColumn("within", F.sum("in_block").over(inner) - F.col("in_block")).join(parts, ["s", "part"])
     begins = begins.withColumn("begin", F.col("within") + F.col("before_part")).where("begin < rest")
-    taken = cut(begins.select("_s", "block", (F.col("begin") + F.col("in_block") <= F.col("rest")).alias("whole"), (F.col("rest") - F.col("begin")).alias("room")))
-    edge = taken.where("not whole")
+    taken = cut(begins.select("s", "block", (F.col("begin") + F.col("in_block") <= F.col("rest")).alias("whole"), (F.col("rest") - F.col("begin")).alias("room")))
     # Of the one block of each source that goes over its budget: the documents that begin before its end.
-    ids = docs.withColumn("_t", tokens(F.col("text"))).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(named.alias("_s"), which.alias("block"), F.col("d.doc_id").alias("_id"), "_t")
-    order = Window.partitionBy("_s").orderBy(_key(F.lit(mix.seed), F.lit("order"), F.col("_id")), "_id", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    cutoff = ids.join(edge.select("_s", "block", "room"), ["_s", "block"]).withColumn("begin", F.sum("_t").over(order) - F.col("_t")).where("begin < room")
-    last = cut(cutoff.groupBy("_s").agg(F.max(F.struct(_key(F.lit(mix.seed), F.lit("order"), F.col("_id")).alias("k"), F.coalesce("_id", F.lit(-(2**63))).alias("i"))).alias("upto")))
-    chosen = cut(taken.join(last, "_s", "left").select("_s", "block", "whole", "upto"))
-    rows = rows.alias("r").join(chosen.alias("c"), ["_s", "block"], "left")
-    me = F.struct(_key(F.lit(mix.seed), F.lit("order"), F.col("_id")).alias("k"), F.coalesce("_id", F.lit(-(2**63))).alias("i"))
-    extra = F.coalesce(F.col("whole") | (me <= F.col("upto")), F.lit(False)).cast("bigint")
-    uses = F.when(F.col("epochs") + extra > 0, F.sequence(F.lit(0).cast("bigint"), F.col("epochs") + extra - 1))
-    out = rows.withColumn("epoch", F.explode(uses))
-    spot = (_key(F.lit(mix.seed), F.col("epoch"), F.col("_s"), F.col("block")) + _key(F.lit(mix.seed), F.col("epoch"), F.col("_id")) / F.lit(float(2**60))) / F.lit(float(2**60))
-    length = F.when(F.col("epoch") < F.col("epochs"), F.col("_n")).otherwise(F.col("_b") - F.col("epochs") * F.col("_n"))
-    place = (F.col("epoch") * F.col("_n") + F.least(spot, F.lit(1.0)) * length) / F.greatest(F.col("_b"), F.lit(1))
-    return out.select(*columns, "epoch", "block", place.alias("place"))
+    ids = joined.select(named.alias("s"), which.alias("block"), me.alias("k"), tokens(F.col("d.text")).alias("t"))
+    ids = ids.withColumn("order", _key(F.lit(mix.seed), F.lit("order"), F.col("k")))
+    order = Window.partitionBy("s").orderBy("order", "k", "t").rowsBetween(Window.unboundedPreceding, 0)
+    cutoff = ids.join(taken.where("not whole").select("s", "block", "room"), ["s", "block"]).withColumn("begin", F.sum("t").over(order) - F.col("t")).where("begin < room")
+    last = cut(cutoff.groupBy("s").agg(F.max(F.struct("order", "k")).alias("upto")))
+    chosen = cut(taken.join(last, "s", "left").select(F.col("s").alias(_s), F.col("block").alias(_block), F.struct("whole", "upto").alias(_extra)))
+    rows = placed.join(chosen, [_s, _block], "left")
+    mine = F.struct(_key(F.lit(mix.seed), F.lit("order"), F.col(_k)).alias("order"), F.col(_k).alias("k"))
+    extra = F.coalesce(F.col(f"{_extra}.whole") | (mine <= F.col(f"{_extra}.upto")), F.lit(False)).cast("bigint")
+    uses = F.when(F.col(_epochs) + extra > 0, F.sequence(F.lit(0).cast("bigint"), F.col(_epochs) + extra - 1))
+    out = rows.withColumn(_epoch, F.explode(uses))
+    spot = (_key(F.lit(mix.seed), F.col(_epoch), F.col(_s), F.col(_block)) + _key(F.lit(mix.seed), F.col(_epoch), F.col(_k)) / F.lit(float(2**60))) / F.lit(float(2**60))
+    length = F.when(F.col(_epoch) < F.col(_epochs), F.col(_n)).otherwise(F.col(_b) - F.col(_epochs) * F.col(_n))
+    place = (F.col(_epoch) * F.col(_n) + F.least(spot, F.lit(1.0)) * length) / F.greatest(F.col(_b), F.lit(1))
+    return out.select(*[F.col(f"`{c}`") for c in columns], F.col(_epoch).alias("epoch"), F.col(_block).alias("block"), place.alias("place"))
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

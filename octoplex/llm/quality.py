@@ -17,7 +17,7 @@ from .common import row_groups
 
 #: Labelled rows that a fit reads at most, chosen by a hash of doc_id. The model has a few thousand table entries.
 MAX_TRAIN_ROWS = 20_000
-#: Bytes of text whose features are computed at once. The arrays take about 40 times as much.
+#: Bytes of text whose features are computed at once, also of a longer text. The arrays take about 40 times as much.
 GROUP_BYTES = 1 << 20
 
 FEATURES = (
@@ -49,6 +49,102 @@ def _span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _raw(data: np.ndarray) -> int:
+    """The polynomial hash of a span, before it is mixed."""
+    powers = _power_tables(len(data) + 1)[0][: len(data)]
+    return int(((data.astype(np.uint64) + np.uint64(1)) * powers).sum(dtype=np.uint64))
+
+
+def _joined_hash(left: tuple[int, int], right: tuple[int, int]) -> tuple[int, int]:
+    """(hash, length) of two spans, one after the other."""
+    return (left[0] + right[0] * pow(int(_M), left[1], 1 << 64)) % (1 << 64), left[1] + right[1]
+
+
+def _mixed_hash(span: tuple[int, int]) -> int:
+    h = np.array([span[0]], np.uint64) + np.array([span[1]], np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return int(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))[0])
+
+
+def _triples(h: np.ndarray) -> np.ndarray:
+    return h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(0x100000001B3) + h[2:] * np.uint64(0x27D4EB2F165667C5)
+
+
+class _Distinct:
+    """Distinct and all hashes of one kind, gathered piece by piece."""
+
+    def __init__(self):
+        self.seen, self.new, self.total = np.zeros(0, np.uint64), [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.total += len(hashes)
+        self.new.append(np.unique(hashes))
+        if sum(map(len, self.new)) > max(len(self.seen), 1 << 18):
+            self._merge()
+
+    def _merge(self) -> None:
+        self.seen, self.new = np.unique(np.concatenate([self.seen, *self.new])), []
+
+    def share(self) -> float:
+        self._merge()
+        return len(self.seen) / self.total if self.total else 1.0
+
+
+def long_features(data: np.ndarray, piece: int | None = None) -> np.ndarray:
+    """FEATURES of one text, `piece` bytes at a time: the same as of the whole, but for 8 bytes a distinct word and line."""
+    piece = piece or GROUP_BYTES
+    counts, kinds = dict.fromkeys(_CLASSES, 0), {k: _Distinct() for k in ("word_kinds", "triple_kinds", "line_kinds")}
+    words, letters, longest = 0, 0, 0
+    word, line, last = (0, 0), (0, 0), np.zeros(0, np.uint64)  # what the pieces so far have left open
+
+    def ended(hashes: np.ndarray) -> np.ndarray:
+        """Counts words; gives the last two of all."""
+        kinds["word_kinds"].add(hashes)
+        run = np.concatenate((last, hashes))
+        if len(run) > 2:
+            kinds["triple_kinds"].add(_triples(run))
+        return run[-2:]
+
+    for at in range(0, len(data), piece):
+        part = data[at : at + piece]
+        for name, members in _CLASSES.items():
+            counts[name] += int(np.isin(np.arange(256), list(members))[part].sum())
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _power_tables(len(part) + 1)[0][: len(part)], out=prefix[1:])
+        solid = np.concatenate(([False], ~_SPACE[part], [False]))
+        starts, ends = np.flatnonzero(~solid[:-1] & solid[1:]), np.flatnonzero(solid[:-1] & ~solid[1:])
+        if word[1] and not (len(starts) and starts[0] == 0):  # the open word ends here
+            words, letters, longest = words + 1, letters + word[1], max(longest, word[1])
+            last, word = ended(np.array([_mixed_hash(word)], np.uint64)), (0, 0)
+        elif word[1]:
+            word = _joined_hash(word, (_raw(part[: ends[0]]), int(ends[0])))
+            starts, ends = starts[1:], ends[1:]
+            if word[1] and _SPACE[part].any():
+                words, letters, longest = words + 1, letters + word[1], max(longest, word[1])
+                last, word = ended(np.array([_mixed_hash(word)], np.uint64)), (0, 0)
+        if len(ends) and ends[-1] == len(part):
+            word = (_raw(part[starts[-1] :]), int(ends[-1] - starts[-1]))
+            starts, ends = starts[:-1], ends[:-1]
+        if len(starts):
+            sizes = ends - starts
+            words, letters, longest = words + len(starts), letters + int(sizes.sum()), max(longest, int(sizes.max()))
+            last = ended(_span_hashes(prefix, starts, ends))
+        stops = np.flatnonzero(part == 10) + 1
+        if len(stops):
+            line = _joined_hash(line, (_raw(part[: stops[0]]), int(stops[0])))
+            kinds["line_kinds"].add(np.concatenate((np.array([_mixed_hash(line)], np.uint64), _span_hashes(prefix, stops[:-1], stops[1:]))))
+            line = (0, 0)
+        rest = part[stops[-1] if len(stops) else 0 :]
+        line = _joined_hash(line, (_raw(rest), len(rest)))
+    if word[1]:
+        words, letters, longest = words + 1, letters + word[1], max(longest, word[1])
+        ended(np.array([_mixed_hash(word)], np.uint64))
+    if line[1]:
+        kinds["line_kinds"].add(np.array([_mixed_hash(line)], np.uint64))
+    found = {"log_bytes": np.log1p(len(data)), "log_words": np.log1p(words), "word_bytes": letters / max(words, 1), "longest_word": min(longest, 1000)}
+    found |= {name: n / max(len(data), 1) for name, n in counts.items()} | {name: x.share() for name, x in kinds.items()}
+    return np.array([[found[name] for name in FEATURES]], float)
+
+
 def _kinds(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     """Distinct over all hashes of each owner; 1 where there are none."""
     total = np.bincount(owner, minlength=n)
@@ -67,6 +163,8 @@ def text_features(texts: pa.Array) -> np.ndarray:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
     bounds = bounds - bounds[0]
     size = np.diff(bounds)
+    if n == 1 and size[0] > GROUP_BYTES:
+        return long_features(data)
     full = np.flatnonzero(size)
     out = {name: np.zeros(n) for name in FEATURES} | {k: np.ones(n) for k in ("word_kinds", "triple_kinds", "line_kinds")}
     out["log_bytes"] = np.log1p(size)
@@ -91,16 +189,13 @@ def text_features(texts: pa.Array) -> np.ndarray:
             h = _span_hashes(prefix, starts, ends)
             out["word_kinds"] = _kinds(owner, h, n)
             same = owner[2:] == owner[:-2]
-            triple = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(0x100000001B3) + h[2:] * np.uint64(0x27D4EB2F165667C5)
-            out["triple_kinds"] = _kinds(owner[2:][same], triple[same], n)
+            out["triple_kinds"] = _kinds(owner[2:][same], _triples(h)[same], n)
         stops = np.flatnonzero(data == 10)
         line_starts = np.unique(np.concatenate((bounds[full], stops + 1)))
         line_starts = line_starts[line_starts < len(data)]
         line_ends = np.concatenate((line_starts[1:], [len(data)]))
         line_owner = np.minimum(np.searchsorted(bounds, line_starts, side="right") - 1, n - 1)
         out["line_kinds"] = _kinds(line_owner, _span_hashes(prefix, line_starts, line_ends), n)
-        if len(_powers[0]) > 2 * GROUP_BYTES:  # of a single long text
-            _powers[:] = [x[:GROUP_BYTES].copy() for x in _powers]
     return np.column_stack([out[name] for name in FEATURES])
 
 
@@ -222,22 +317,23 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, label: str = "quality", **options) -> PairwiseGam:
     """Fits on at most `max_rows` labelled documents outside the held-out third.
 
-    Rows with a null id or label are ignored and a repeated id counts once, by its mean label. The ids of the sample,
-    a bounded list, are broadcast to the scan of the documents; only their feature rows reach the driver.
+    Rows with a null id or label are ignored. A repeated id counts once: by its mean label, and by the row of the
+    smallest features. The ids of the sample, a bounded list, are broadcast to the scan of the documents, and a feature
+    row for each of them reaches the driver.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.avg(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "y", "doc_id")
 
     def rows(batches):
         for batch in batches:
             for part in row_groups(batch, 0, GROUP_BYTES):
                 x = text_features(part.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1)], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *part.columns[1:]], names=["x", "y", "doc_id"])
 
-    got = sample.mapInArrow(rows, "x array<double>, y double").toArrow()
+    got = sample.mapInArrow(rows, "x array<double>, y double, doc_id bigint").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).toArrow()
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
     y = (got.column("y").to_numpy() >= 0.5).astype(float)
     order = np.lexsort((*x.T, y))
@@ -252,7 +348,7 @@ def score_documents(docs: DataFrame, model: PairwiseGam, column: str = "quality_
     keep = [c for c in (keep or docs.columns) if c != column]
     back = [k for k, c in enumerate(docs.columns) if c in keep]
     at = docs.columns.index("text")
-    schema = docs.select(*[docs.columns[k] for k in back]).schema.add(column, "double")
+    schema = docs.select(*[F.col(f"`{docs.columns[k]}`") for k in back]).schema.add(column, "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):

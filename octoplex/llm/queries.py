@@ -15,6 +15,7 @@ QUERIES = {
     "op8_wu_manber": decontaminate.op8_query,
     "op9_longest_previous_factor": substrings.op9_query,
     "op10_chat_windows": chat.op10_query,
+    "secret_ledger_rescan": secrets.rescan_query,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op6_secret_ledger": secrets.OP6_SQL,
     "op8_wu_manber": decontaminate.OP8_SQL,
     "op10_chat_windows": chat.OP10_SQL,
+    "secret_ledger_rescan": secrets.RESCAN_SQL,
 }

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import cut, private, table
 
 
 @dataclass(frozen=True)
@@ -35,9 +35,13 @@ RULES = (
 RULE_VERSION = "1"
 
 
+def _address_of(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+
+
 def content_address(versions: DataFrame) -> DataFrame:
-    """versions with blob, the SHA-256 of its whole text; a null text is the empty blob."""
-    return versions.withColumn("blob", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    """versions with blob, the SHA-256 of its whole text; a null text is the empty blob. A column `blob` is replaced."""
+    return versions.withColumn("blob", _address_of("text"))
 
 
 def _may_match(rules: tuple[Rule, ...]) -> Column:
@@ -113,13 +117,15 @@ def digests(found: DataFrame, *columns: str) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every finding replaced by a mark and n_chars counted anew; all rows stay, null texts as they are.
 
-    Only the rows that may have a finding meet the findings; the others pass without a shuffle.
+    Only the rows that may have a finding meet the findings; the others pass without a shuffle. Other columns, whatever
+    their names, stay as they are; rows with null or repeated ids are judged by their own texts.
     """
     found, _ = scan_unseen(docs, "doc_id")
-    hits = cut(found.where(F.size("findings") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.first("findings").alias("_findings")))
-    rows = docs.where(_may_match(RULES)).withColumn("_address", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).join(hits, F.col("_address") == F.col("_blob"), "left")
+    blob, findings, address, clean = private(docs, "_blob", "_findings", "_address", "_clean")
+    hits = cut(found.where(F.size("findings") > 0).groupBy(F.col("blob").alias(blob)).agg(F.first("findings").alias(findings)))
+    rows = docs.where(_may_match(RULES)).withColumn(address, _address_of("text")).join(hits, F.col(address) == F.col(blob), "left")
     merged = F.aggregate(
-        F.array_sort(F.transform("_findings", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))),
+        F.array_sort(F.transform(findings, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))),
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
@@ -127,9 +133,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.col("text").substr(a["at"].cast("int") + 1, F.length("text"))),
     )
-    text = F.when(F.col("_findings").isNull(), F.col("text")).otherwise(merged)
-    out = rows.withColumn("_clean", text)
-    columns = [F.col("_clean").alias("text") if c == "text" else F.when(F.col("_findings").isNull(), F.col(c)).otherwise(F.length("_clean")).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    out = rows.withColumn(clean, F.when(F.col(findings).isNull(), F.col("text")).otherwise(merged))
+    made = {"text": F.col(clean), "n_chars": F.when(F.col(findings).isNull(), F.col("n_chars")).otherwise(F.length(clean)) if "n_chars" in docs.columns else None}
+    columns = [made[c].cast(kind).alias(c) if c in made else F.col(f"`{c}`") for c, kind in docs.dtypes]
     return out.select(*columns).union(docs.where(~_may_match(RULES)))
 
 
@@ -138,10 +144,29 @@ def op6_query(spark, sf_dir: str) -> DataFrame:
     return digests(found, "doc_id")
 
 
+def two_versions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, text) of a first commit of all documents, and of a second that adds a password to every seventh."""
+    path = F.col("doc_id").cast("string")
+    text = F.coalesce("text", F.lit(""))
+    edited = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(text, F.lit(' password = "hunter2hunter2"'))).otherwise(text)
+    return docs.select(F.concat(F.lit("1/"), path).alias("path"), "text"), docs.select(F.concat(F.lit("2/"), path).alias("path"), edited.alias("text"))
+
+
+def rescan_query(spark, sf_dir: str) -> DataFrame:
+    """Findings of every path of two commits. The second scan knows the ledger of the first and reads only new blobs."""
+    first, second = two_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    _, ledger = scan_unseen(first, "path")
+    ledger = cut(ledger)
+    found, grown = scan_unseen(first.union(second), "path", ledger)
+    added = cut(grown.join(ledger.select("blob"), "blob", "left_anti").select("blob").distinct())
+    marked = digests(found, "path", "blob").join(added.withColumn("new", F.lit(True)), "blob", "left")
+    return marked.select("path", F.coalesce("new", F.lit(False)).alias("scanned_again"), "n_assign", "n_access", "n_hex", "spans")
+
+
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-OP6_SQL = (
+_SQL = (
     r"""
-WITH b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH b AS ({texts}),
 r(kind, k, pat, least) AS (VALUES ('assign', 0, '"""
     + _ASSIGN
     + r"""', 6), ('access', 1, '()(AKIA[A-Z0-9]+)', 20), ('hex', 2, '()([0-9a-f]+)', 24)),
@@ -158,8 +183,19 @@ p AS (SELECT doc_id, kind, k, least, unnest(range(1, len(h) + 1)) AS i, g, h, s
 q AS (SELECT doc_id, kind, k, least, i, length(h[i]) AS hl, length(s[i]) AS sl, sum(length(g[i]) + length(h[i])) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM p),
 f AS (SELECT doc_id, kind, k, CAST(e - hl AS BIGINT) AS st, CAST(e AS BIGINT) AS en FROM q WHERE sl >= least),
 a AS (SELECT doc_id, string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, k) AS spans, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2 FROM f GROUP BY 1)
-SELECT b.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT {columns}, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
+       coalesce(spans, '') AS spans
 FROM b LEFT JOIN a ON a.doc_id = b.doc_id
 """
 )
+
+
+def _sql(texts: str, columns: str) -> str:
+    return _SQL.replace("{texts}", texts).replace("{columns}", columns)
+
+
+OP6_SQL = _sql("SELECT doc_id, coalesce(text, '') AS t FROM documents", "b.doc_id, sha256(coalesce(spans, '')) AS base_sha256")
+RESCAN_SQL = _sql(
+    "SELECT '1/' || doc_id AS doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT '2/' || doc_id, coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN ' password = \"hunter2hunter2\"' ELSE '' END FROM documents",
+    "b.doc_id AS path, b.t NOT IN (SELECT coalesce(text, '') FROM documents) AS scanned_again",
+)

@@ -25,6 +25,8 @@ ANCHORS = (
 #: Content words to an anchor.
 CHAIN = 2
 DIGITS = 8
+#: Ids to a cell of neighbours, a power of 2; and bits that one level of their order resolves.
+CELL, LEVEL_BITS = 32, 16
 
 
 def signatures(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -93,44 +95,43 @@ def classes(docs: DataFrame) -> DataFrame:
     return prints.join(cut(prints.groupBy("set").agg(F.min("doc_id").alias("class_id"))), "set").select("doc_id", "class_id")
 
 
-def with_next(docs: DataFrame, rows_to_bucket: int = 32, max_buckets: int = 4096) -> DataFrame:
+def following(keys: DataFrame, bits: int) -> DataFrame:
+    """(key, next): the next larger of the distinct keys (BIGINT, `bits` significant bits), or null after the last.
+
+    Keys are put in order inside groups that share all but their last 16 bits, of 65,536 at most, and so are the groups
+    themselves, up to the top, where there are few enough for one task. No more than that is ever sorted together.
+    """
+    if bits <= LEVEL_BITS:
+        return keys.select("key", F.lead("key").over(Window.orderBy("key")).alias("next"))
+    inside = keys.withColumn("group", F.shiftright("key", LEVEL_BITS))
+    groups = cut(inside.groupBy("group").agg(F.min("key").alias("first")))
+    after = following(groups.select(F.col("group").alias("key")), bits - LEVEL_BITS)
+    onward = after.join(groups.select(F.col("group").alias("next"), "first"), "next").select(F.col("key").alias("group"), "first")
+    inside = inside.withColumn("next", F.lead("key").over(Window.partitionBy("group").orderBy("key")))
+    return inside.join(cut(onward), "group", "left").select("key", F.coalesce("next", "first").alias("next"))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text): the text of the row that follows by doc_id (then text), the first row's after the last.
 
-    Rows are dealt into ranges of doc_id by approximate quantiles, so no task sorts the table; the first row of a range
-    is also sent to the range before it. Null ids come first; null texts count as empty.
+    Rows are dealt into cells of CELL consecutive ids, so a cell has so many ids at most wherever the ids are dense;
+    inside a cell they are put in order, and the last of each meets the first of the next cell that has any. Null texts
+    count as empty; a row with a null id has no place in the order and is followed by an empty text.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    buckets = max(1, min(max_buckets, n // rows_to_bucket))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] if buckets > 1 else []
-    cuts = sorted(set(cuts or []))
-    steps = max(1, len(cuts)).bit_length()
-    bounds = F.array(*[F.lit(x).cast("bigint") for x in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
-    # Binary search: how many bounds are at or below the id.
-    place = F.aggregate(
-        F.array(*[F.lit(1 << k) for k in reversed(range(steps))]), F.lit(0),
-        lambda at, step: F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) <= F.col("doc_id")), at + step).otherwise(at),
-    )
-    placed = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place))
-    # The first row of each range, without its text: the smallest id and, of equal ids, the smallest text hash.
-    heads = placed.groupBy("range").agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("null_head")).orderBy("range").collect()
-    if not heads:
-        return docs.withColumn("next_text", F.lit(""))
-    used = [h["range"] for h in heads]
-    before = {r: used[k - 1] for k, r in enumerate(used)}  # the first range's head goes to the last
-    ids = [None if h["null_head"] else h["head"] for h in heads]
-    is_head = F.lit(False)
-    known = [x for x in ids if x is not None]
-    if known:
-        is_head = F.coalesce(F.array_contains(F.array(*[F.lit(x).cast("bigint") for x in known]), F.col("doc_id")), F.lit(False))
-    if None in ids:
-        is_head = is_head | F.col("doc_id").isNull()
-    earlier = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("range"))
-    home = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))
-    sent = F.when(is_head, F.array(home, F.struct(earlier.alias("range"), F.lit(1).alias("guest")))).otherwise(F.array(home))
-    dealt = placed.withColumn("to", F.explode(sent)).select("doc_id", "text", F.col("to.range").alias("range"), F.col("to.guest").alias("guest"))
-    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    cell = F.shiftright("doc_id", CELL.bit_length() - 1)
+    named = rows.where("doc_id is not null").withColumn("cell", cell)
+    cells = cut(named.groupBy("cell").agg(F.count("*").alias("n")).select(F.col("cell").alias("key")))
+    link = cut(following(cells, 64 - CELL.bit_length() + 1))
+    first = cells.agg(F.min("key")).first()[0]  # one number
+    link = link.select(F.col("key").alias("cell"), F.coalesce("next", F.lit(first).cast("bigint")).alias("next_cell"))
+    order = Window.partitionBy("cell").orderBy("doc_id", "text")
+    placed = named.withColumn("next_text", F.lead("text").over(order)).withColumn("r", F.row_number().over(order))
+    heads = placed.where("r = 1").select(F.col("cell").alias("next_cell"), F.col("text").alias("head"))
+    lasts = placed.where("next_text is null").select("doc_id", "text", "cell").join(link, "cell")
+    closed = lasts.join(heads, "next_cell").select("doc_id", "text", F.col("head").alias("next_text"))
+    inner = placed.where("next_text is not null").select("doc_id", "text", "next_text")
+    return inner.unionByName(closed).unionByName(rows.where("doc_id is null").withColumn("next_text", F.lit("")))
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

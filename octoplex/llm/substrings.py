@@ -1,19 +1,22 @@
 """Removal of repeated byte strings, by longest-previous-factor arrays over partitioned suffixes.
 
 A byte goes if some string of MIN_BYTES bytes that covers it also starts in a document with a smaller doc_id. Every such
-string (a window) holds an anchor: of its K-grams the one with the smallest hash, the leftmost of equals. Equal windows
-have equal anchors, so windows meet by anchor and the work splits into independent parts:
+string (a window, the part of a suffix that counts) holds an anchor: of its K-grams the one with the smallest hash, the
+leftmost of equals. Equal windows have equal anchors, so windows meet by anchor and the work splits into independent
+parts, each with a suffix order, the common prefixes of its neighbours, and the longest previous factors that follow from
+previous and next smaller documents in that order:
 
 1. Each batch of documents lists its anchors; counting their hashes over all batches shows which occur more than once.
-2. For those only, the stretch of windows around the anchor is sent as two hashes of 64 bits, its anchor's and its own,
-   to the part of the first. Equal stretches are settled there by the smallest doc_id.
-3. The first of each kind, where an anchor has several kinds of stretches, is then sent whole. The windows of a part are
-   put in suffix order, and the longest previous factor of each, from previous and next smaller positions, tells
-   whether it occurs in an earlier document.
+2. For those only, the stretch of windows around the anchor is sent by its names, two independent hashes of 64 bits, to
+   the part of the first. In the order of names, equal stretches are neighbours that have all in common and others have
+   nothing, so the longest previous factor tells which stretches stand whole in an earlier document.
+3. The first of each kind, where an anchor has several kinds of stretches, is then sent as text. The suffixes of a part
+   are sorted by their bytes, and the longest previous factor tells which windows stand in an earlier document.
 4. Each batch merges what was found into the removed runs of its documents.
 
 An anchor that occurs HOT times or more could put many kinds of stretches into one part: its windows are sent one by
-one, by their own hash. Equal stretches of a batch are sent once, so a part gets one for each batch at most.
+one, named by two independent hashes of their own. Equal stretches of a batch are sent once, so a part gets one for each
+batch at most. Parts are keys and not tasks: their number grows with the input and their size does not.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ BATCH_BYTES = 2 << 20
 BUCKET_BYTES, PARTS = 4 << 20, 4
 _LAST = 2**63 - 1
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_BYTE = np.random.default_rng(50).integers(0, 2**64, 256, np.uint64, endpoint=False)
+_BYTE, _BYTE_2 = np.random.default_rng(50).integers(0, 2**64, (2, 256), np.uint64, endpoint=False)
 
 
 def _wider(h: np.ndarray, by: int) -> np.ndarray:
@@ -104,21 +107,29 @@ def runs(data: np.ndarray, bounds: np.ndarray, size: int = MIN_BYTES, k: int = K
     return [np.concatenate(x) for x in found]
 
 
-def longest_previous_factors(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """For each place, the longest match with an earlier place.
+def earlier_matches(owners: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each suffix, in suffix order, the longest common prefix with one of a smaller owner.
 
-    order lists the places in suffix order and shared the common prefix of each with its predecessor. A stack holds the
-    suffixes whose next smaller place isn't known yet, so each meets its previous and its next smaller place once
-    (Crochemore and Ilie 2008).
+    shared is the common prefix of each suffix with the one before it. A stack holds the suffixes whose next smaller
+    owner isn't known yet, with the common prefix with their previous smaller one and with the suffix below them, so
+    each meets its previous and its next smaller owner once (after Crochemore and Ilie 2008, who have no ties).
     """
-    found = np.zeros(len(order), np.int64)
-    stack: list[tuple[int, int]] = []
-    for place, common in zip([*order.tolist(), -1], [*shared.tolist(), 0], strict=True):
-        while stack and place < stack[-1][0]:
-            top, before = stack.pop()
+    found = [0] * len(owners)
+    stack: list[tuple[int, int, int, int]] = []
+    for at, (owner, common) in enumerate(zip([*owners.tolist(), None], [*shared.tolist(), 0], strict=True)):
+        while stack and (owner is None or owner < stack[-1][1]):
+            top, _, before, below = stack.pop()
             found[top] = max(before, common)
-            common = min(before, common)
-        stack.append((place, common))
+            common = min(below, common)
+        same = stack and stack[-1][1] == owner
+        stack.append((at, owner, min(stack[-1][2], common) if same else common if stack else 0, common))
+    return np.array(found, np.int64)
+
+
+def longest_previous_factors(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each place, the longest match with an earlier place; order lists the places in suffix order."""
+    found = np.zeros(len(order), np.int64)
+    found[order] = earlier_matches(order, shared)
     return found
 
 
@@ -205,8 +216,8 @@ class _Stretches:
             reach = last[hot] - first[hot] + 1
             each = np.repeat(first[hot] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
             windows = np.lib.stride_tricks.sliding_window_view(array, size)
-            own = np.concatenate([_gram_rows(windows[each[a : a + 65536]]) for a in range(0, len(each), 65536)])
-            key, kind = np.concatenate((key, _mixed(own))), np.concatenate((kind, _mixed(own * _C2 + _C3)))
+            own, other = (np.concatenate([_gram_rows(windows[each[a : a + 65536]], *x) for a in range(0, len(each), 65536)]) for x in ((_BYTE, _C1), (_BYTE_2, _C3)))
+            key, kind = np.concatenate((key, _mixed(own))), np.concatenate((kind, _mixed(other)))
             lo, hi = np.concatenate((lo, each)), np.concatenate((hi, each))
         doc = docs[np.searchsorted(bounds, lo, side="right") - 1]
         order = np.lexsort((lo, doc, kind, key))
@@ -274,7 +285,7 @@ def _joined(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, list[int]]:
 
 
 def _settle(group: pa.Table) -> pa.Table:
-    """1: the same stretch begins in an earlier document. 2: it is the first, but its anchor has other kinds of stretches."""
+    """1: the same stretch stands in an earlier document. 2: it is the first, but its anchor has other kinds of stretches."""
     keys, sizes = _joined(group.column("keys"), np.uint64)
     kinds, _ = _joined(group.column("kinds"), np.uint64)
     docs, _ = _joined(group.column("docs"), np.int64)
@@ -282,10 +293,9 @@ def _settle(group: pa.Table) -> pa.Table:
     key, kind, doc = keys[order], kinds[order], docs[order]
     other = key[1:] != key[:-1]
     new_key, new = np.concatenate(([True], other)), np.concatenate(([True], other | (kind[1:] != kind[:-1])))
-    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     several = np.bincount(np.cumsum(new_key) - 1, new)[np.cumsum(new_key) - 1] > 1
     codes = np.zeros(len(order), np.uint8)
-    codes[order] = np.where(least < doc, 1, np.where(several, 2, 0))
+    codes[order] = np.where(earlier_matches(doc, (~new).astype(np.int64)) > 0, 1, np.where(several, 2, 0))
     return _coded(group, codes, sizes, 2)
 
 
@@ -319,11 +329,11 @@ def _list_texts(parts: int, size: int):
     return rows
 
 
-def _gram_rows(rows: np.ndarray) -> np.ndarray:
+def _gram_rows(rows: np.ndarray, values: np.ndarray, factor: np.uint64) -> np.ndarray:
     """A hash of each row of bytes."""
     h = np.zeros(len(rows), np.uint64)
     for column in range(rows.shape[1]):
-        h = (h ^ (h >> np.uint64(29))) * _C1 + _BYTE[rows[:, column]]
+        h = (h ^ (h >> np.uint64(29))) * factor + values[rows[:, column]]
     return h
 
 
@@ -361,17 +371,14 @@ def _resolve(size: int):
                 base = np.cumsum(length[mixed]) - length[mixed]
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 rank = np.repeat(np.arange(len(mixed)), n)
+                # The suffixes that are a window long or more, in the order of their first `size` bytes.
                 windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(whole, size)[np.repeat(base, n) + inner])
                 order = np.argsort(windows.view(f"S{size}").ravel(), kind="stable")
                 ordered = windows[order]
                 same = ordered[1:] == ordered[:-1]
                 common = np.concatenate(([0], np.where(same.all(1), size, same.argmin(1))))
-                # Equal windows stand in the order of doc_id. Those of the first document have no earlier match.
-                source = least[mixed][rank][order]
-                equal = common == size
-                head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))
-                common[equal & (source == source[head])] = size - 1
-                hit = longest_previous_factors(order, common) >= size
+                hit = np.zeros(len(order), bool)
+                hit[order] = earlier_matches(least[mixed][rank][order], common) >= size
                 holders = np.flatnonzero(~late)
                 slot = np.full(len(texts), -1)
                 slot[mixed] = np.arange(len(mixed))
@@ -447,13 +454,14 @@ def remove_repeats(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     stored = _stored_bytes(docs)
+    # Spark makes 100,000 buckets at most. Larger ones take longer, but no more memory: batches and parts keep their size.
     buckets = int(min(max(-(-stored // BUCKET_BYTES), 8), 100_000))
     name = f"octoplex_{uuid.uuid4().hex}"
     packed = docs.mapInArrow(_pack(BATCH_BYTES), "batch bigint, ids array<bigint>, texts array<binary>")
     packed.write.bucketBy(buckets, "batch").option("path", f"{shared_dir(spark)}/octoplex/{name}").format("parquet").saveAsTable(name)
     batches = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay
-    parts = buckets * PARTS
+    parts = int(max(-(-stored // BUCKET_BYTES), 8)) * PARTS
     anchors = batches.mapInArrow(_list_anchors(parts, size), "part bigint, batch bigint, keys binary, counts binary")
     coded = "batch bigint, step int, part bigint, codes binary"
     repeated = cut(anchors.groupBy("part").applyInArrow(_count_anchors, coded))

@@ -179,7 +179,7 @@ def test_longest_previous_factors():
 
 def test_spotsigs(spark):
     df = docs(spark, "The cat sat on the mat and the dog ran", "The cat sat on the mat and the dog ran", None, "zz yy xx", ids=[3, 1, 2, 9])
-    rows = {r["doc_id"]: r for r in spotsigs.with_next(df, rows_to_bucket=1).collect()}
+    rows = {r["doc_id"]: r for r in spotsigs.with_next(df).collect()}
     assert rows[9]["next_text"] == rows[1]["text"] and rows[1]["next_text"] == "" and rows[2]["next_text"] == rows[3]["text"]
     pairs = spotsigs.signatures(df, "text", "x").select("doc_id", spotsigs.as_text("x").alias("f"))
     got = {r["doc_id"]: r["f"] for r in pairs.collect()}
@@ -224,7 +224,7 @@ def test_chat_round_trip(spark):
     rng = random.Random(9)
     said = [("system", "rules \\b <turn x>\n")] + [(("user", "assistant")[k % 2], words(rng, rng.randrange(1, 400)) + "</turn>\\l") for k in range(30)] + [(None, None), ("assistant", "")]
     turns = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(said)], "conv_id bigint, turn bigint, role string, text string")
-    made = chat.windows(turns, 256, 64)
+    made = chat.windows(turns, 256)
     assert made.count() > 3
     back = [(r["role"], r["text"], r["loss"]) for r in chat.read_back(made).orderBy("position").collect()]
     assert back == [(r or "", t or "", r == "assistant") for r, t in said]
