@@ -1,9 +1,10 @@
 """Near duplicates by the exact Jaccard similarity of word shingles, found by prefix filtering.
 
 All documents' shingle hashes are put in one order. Of a set of n shingles, the first n - ceil(t n) + 1 are its prefix:
-two sets of similarity t or more share a shingle of both prefixes. So only documents that share one are compared, and
-only by their whole sets; nothing else decides. The order puts shingles that a sample of the documents holds several
-times last, which keeps the groups small; it has no influence on the result.
+two sets of similarity t or more share a shingle of both prefixes. So only documents that share one are compared. Of
+these pairs, SimHash fingerprints of 512 bits discard those that differ in more bits than similar sets ever do (see
+`most_bits`), and the whole sets decide about the rest. The order puts shingles that a sample of the documents holds
+several times last, which keeps the groups small; it has no influence on the result.
 
 Members of a group of up to GROUP that share a shingle are compared with each other, those of a larger one first with
 one of them. What that links needs no further comparison, so a large group of copies costs as many comparisons as it
@@ -54,21 +55,56 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique((mixed ^ (mixed >> np.uint64(33))).view(np.int64))
 
 
+#: Bits of the fingerprints, in words of 64; and the size from which sets are so large that they are told apart by them.
+WORDS, LEAST = 8, 32
+_FACTORS = np.random.default_rng(8).integers(0, 2**63, WORDS - 1).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def fingerprint(found: np.ndarray, piece: int = 1 << 14) -> list[int]:
+    """The SimHash of a set: of each bit of its members' hashes, which value more than half of them have."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(found), piece):
+        h = found[at : at + piece].view(np.uint64)
+        words = [h]
+        for factor in _FACTORS:
+            x = h * factor
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            words.append(x ^ (x >> np.uint64(29)))
+        ones += np.unpackbits(np.stack(words, axis=1).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found), bitorder="little").view(np.int64).tolist()
+
+
+def most_bits(threshold: float) -> int:
+    """Differing bits of two sets of that similarity that 7 standard deviations do not exceed, for 1 pair in 10**11.
+
+    A bit of two sets of one size differs with the angle between their vectors, arccos(2 t / (1 + t)), over pi.
+    """
+    bits, p = 64 * WORDS, math.acos(2 * threshold / (1 + threshold)) / math.pi
+    return math.ceil(bits * p + 7 * math.sqrt(bits * p * (1 - p)))
+
+
 def _digest(found: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
     return int(np.array([xxh64_intdigest(found.tobytes(), 42)], np.uint64).view(np.int64)[0]) if len(found) else 0
 
 
-def _mapped(docs: DataFrame, width: int, choose, schema: str, kind=pa.int64()) -> DataFrame:
-    """For each row the doc_id, the digest of its set, the size of the set, and what `choose` takes of the set."""
+def _mapped(docs: DataFrame, width: int, choose, schema: str, kind=pa.int64(), printed: bool = False) -> DataFrame:
+    """For each row the doc_id, the digest of its set, the size of the set, and what `choose` takes of the set.
+
+    printed: with the fingerprint of the set.
+    """
 
     def rows(batches):
         for batch in batches:
             for part in row_groups(batch, 1, 1 << 20):
                 found = [shingles(x or b"", width) for x in part.column(1).cast(pa.large_binary()).to_pylist()]
                 columns = [pa.array([_digest(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([choose(x) for x in found], pa.list_(kind))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "digest", "n", "items"])
+                names = ["doc_id", "digest", "n", "items"]
+                if printed:
+                    columns.append(pa.array([fingerprint(x) for x in found], pa.list_(pa.int64())))
+                    names.append("fp")
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
 
@@ -90,7 +126,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(doc_id, digest, n, items): items are the prefix of each row's set, in order."""
+    """(doc_id, digest, n, items, fp): items are the prefix of each row's set, in order, fp its fingerprint."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
 
     def choose(found):
@@ -101,7 +137,13 @@ def prefixes(docs: DataFrame, width: int, threshold: float) -> DataFrame:
             late = listed[np.minimum(np.searchsorted(listed, found), len(listed) - 1)] == found
         return np.concatenate((found[~late], found[late]))[:size]
 
-    return _mapped(docs, width, choose, _SCHEMA)
+    return _mapped(docs, width, choose, _SCHEMA + ", fp array<bigint>", printed=True)
+
+
+def _alike(a: str, b: str, threshold: float) -> Column:
+    """Whether fingerprints (columns a_fp, a_n) leave it open that the sets are similar."""
+    bits = sum((F.bit_count(F.get(f"{a}_fp", F.lit(k)).bitwiseXOR(F.get(f"{b}_fp", F.lit(k)))) for k in range(WORDS)), F.lit(0))
+    return (F.least(f"{a}_n", f"{b}_n") < LEAST) | (bits <= most_bits(threshold))
 
 
 def _may_reach(a, b, threshold: float) -> Column:
@@ -151,19 +193,22 @@ def near_pairs(prints: DataFrame, groups: DataFrame, docs: DataFrame, width: int
     shared = cut(grouped.where("m > 1").select("item", "digest", "n", "place", "m", met.alias("met")))
     pairs = shared.select(F.explode("met").alias("x"), "digest").select(F.least("x", "digest").alias("u"), F.greatest("x", "digest").alias("v"))
     pairs = cut(pairs.distinct())
-    links = _verified(pairs, docs, groups, width, threshold)
+    known = cut(prints.select("digest", "n", "fp").dropDuplicates(["digest"]).join(shared.select("digest").distinct(), "digest", "left_semi"))
+    marks = {k: known.select(F.col("digest").alias(k), F.col("n").alias(f"{k}_n"), F.col("fp").alias(f"{k}_fp")) for k in "uv"}
+    likely = cut(pairs.join(marks["u"], "u").join(marks["v"], "v").where(_alike("u", "v", threshold)).select("u", "v"))
+    links = _verified(likely, docs, groups, width, threshold)
     # The members of large groups that are not linked by now.
     large = shared.where(F.col("m") > GROUP).select("item", "digest", "n", "place")
     roots = cut(components(links))
-    known = cut(large.join(roots, large.digest == roots.node, "left").select(large["*"], F.coalesce("root", "digest").alias("root")))
-    discard(shared)
-    several = known.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    known = cut(known.join(several.select("item"), "item"))
-    ends = (F.least("h.digest", "e.digest").alias("u"), F.greatest("h.digest", "e.digest").alias("v"))
-    h, e = ({k: F.col(f"{x}.{k}") for k in ("n", "place")} for x in "he")
-    apart = (F.col("h.digest") < F.col("e.digest")) & (F.col("h.root") != F.col("e.root"))
-    rest = known.alias("h").join(known.alias("e"), "item").where(apart & _may_reach(h, e, threshold)).select(*ends).distinct()
-    rest = cut(rest.join(pairs, ["u", "v"], "left_anti"))
+    rooted = cut(large.join(roots, large.digest == roots.node, "left").select(large["*"], F.coalesce("root", "digest").alias("root")))
+    several = rooted.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    rooted = cut(rooted.join(several.select("item"), "item").join(known.select("digest", "fp"), "digest"))
+    discard(shared, known)
+    u, v = (rooted.select("item", *[F.col(c).alias(f"{k}_{c}") for c in ("digest", "n", "place", "root", "fp")]) for k in "uv")
+    first, second = ({c: F.col(f"{k}_{c}") for c in ("n", "place")} for k in "uv")
+    open_pair = (F.col("u_digest") < F.col("v_digest")) & (F.col("u_root") != F.col("v_root")) & _may_reach(first, second, threshold)
+    rest = u.join(v, "item").where(open_pair & _alike("u", "v", threshold)).select(F.col("u_digest").alias("u"), F.col("v_digest").alias("v")).distinct()
+    rest = cut(rest.join(likely, ["u", "v"], "left_anti"))
     return links.union(_verified(rest, docs, groups, width, threshold))
 
 
