@@ -75,8 +75,12 @@ def display(b: Column, kind: str = "hex", chunk: int = 8, width: int = 16) -> Co
         return text if not width else F.array_join(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)), "\n")
     if kind not in ("hex", "dec", "oct", "bin"):
         raise Unsupported(f"unknown format: {kind}")
-    if chunk == 8 and kind in ("hex", "dec"):
-        cells = pairs(b) if kind == "hex" else F.transform(values(b), lambda v: v.cast("string"))
+    if chunk == 8 and kind == "hex":
+        # By two passes over the text: a blank between pairs, then a line end for each blank after `width` pairs.
+        text = F.regexp_replace(F.lower(F.hex(b)), "(..)(?=.)", "$1 ")
+        return F.regexp_replace(text, f"((?:.. ){{{width - 1}}}..) ", "$1\n") if width else text
+    if chunk == 8 and kind == "dec":
+        cells = F.transform(values(b), lambda v: v.cast("string"))
     else:
         n = size(b) * 8
         starts = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(chunk).cast("bigint"))).otherwise(F.expr("cast(array() as array<bigint>)"))
@@ -140,4 +144,5 @@ def unsigned(b: Column, little: bool) -> Column:
 
 def signed(b: Column, width: int, little: bool) -> Column:
     value = unsigned(b, little)
-    return F.when(value >= F.lit(2 ** (width - 1)).cast("decimal(20,0)"), value - F.lit(2**width).cast("decimal(20,0)")).otherwise(value).cast("bigint")
+    half, whole = (F.lit(str(2**k)).cast("decimal(20,0)") for k in (width - 1, width))  # 2**63 is no BIGINT
+    return F.when(value >= half, value - whole).otherwise(value).cast("bigint")

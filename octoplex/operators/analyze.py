@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import octets
+from ..functions.literals import Unsupported
+from .edit import read
 
 
 def _measures(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +101,7 @@ def top(found: DataFrame, n: int = 20) -> DataFrame:
     return found.orderBy(F.desc("count"), "byte").limit(n).withColumn("bar", bar)
 
 
+# The classes and their bounds.
 def entropy_class(entropy: Column) -> Column:
     return (
         F.when(entropy < 1, "highly repetitive/uniform").when(entropy < 4, "structured data/text/code").when(entropy < 6, "mixed content")
@@ -110,11 +113,53 @@ def ic_class(ic: Column) -> Column:
     return F.when(ic < 0.006, "random/encrypted").when(ic < 0.02, "possibly compressed").when(ic < 0.05, "structured binary").otherwise("text-like patterns")
 
 
+# The names of the analyses.
+KINDS = {"entropy": "entropy", "histogram": "histogram", "hist": "histogram", "ic": "ic", "ioc": "ic", "index-of-coincidence": "ic"}
+#: The block size of an analysis that names none; 0 takes each blob whole.
+DEFAULT_BLOCK = 256
+
+
+def analyze(df: DataFrame, kind: str, block_size: int = DEFAULT_BLOCK, where: str | None = None, key: str = "blob_id") -> DataFrame:
+    """An analysis by its name, of a byte range of each blob if one is given; blobs that it does not fit are left out."""
+    name = KINDS.get(kind.lower())
+    if not name:
+        raise Unsupported(f"unknown analysis: {kind}")
+    if where is not None:
+        df = read(df, where).where("error is null").drop("error")
+    if name == "histogram":
+        return histogram(df)
+    return blocks(df, block_size, key).select(key, "offset", "size", name)
+
+
 def rendered(found: DataFrame, measure: str, form: str) -> DataFrame:
-    """A line for each block as csv or json, entropy to 6 places and ic to 8."""
-    shown = F.format_string("%.6f" if measure == "entropy" else "%.8f", measure)
+    """A line for each block as csv or json, entropy to 6 places and ic to 8; of a histogram for each byte."""
+    places = {"entropy": 6, "ic": 8, "percentage": 4}[measure]
+    shown = F.format_string(f"%.{places}f", measure)
+    first, second = ("byte", "count") if measure == "percentage" else ("offset", "size")
     if form == "csv":
-        line = F.concat_ws(",", F.col("offset").cast("string"), F.col("size").cast("string"), shown)
+        line = F.concat_ws(",", F.col(first).cast("string"), F.col(second).cast("string"), shown)
+    elif form == "json":
+        line = F.format_string(f'{{"{first}":%d,"{second}":%d,"{measure}":%s}}', first, second, shown)
     else:
-        line = F.to_json(F.struct("offset", "size", F.round(measure, 6 if measure == "entropy" else 8).alias(measure)))
-    return found.select(*[c for c in found.columns if c not in ("entropy", "ic")], line.alias("line"))
+        raise Unsupported(f"unknown form: {form}")
+    return found.select(*[c for c in found.columns if c not in ("entropy", "ic", "percentage")], line.alias("line"))
+
+
+def document(found: DataFrame, measure: str, form: str, key: str = "blob_id") -> DataFrame:
+    """(key, text): the whole of a blob's analysis: csv with a head, or json, an object for one block, else a list of them."""
+    made = rendered(found, measure, form)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("offset", "line"))), lambda x: x["line"])
+    head = f"offset,size,{measure}\n"
+    whole = F.concat(F.lit(head), F.array_join("lines", "\n"), F.lit("\n"))
+    if form == "json":
+        whole = F.when(F.size("lines") == 1, F.get("lines", F.lit(0))).otherwise(F.concat(F.lit('{"blocks":['), F.array_join("lines", ","), F.lit("]}")))
+    return made.groupBy(key).agg(lines.alias("lines")).select(key, whole.alias("text"))
+
+
+def histogram_document(found: DataFrame, form: str) -> DataFrame:
+    """(text) of a histogram of 256 rows at most, the most frequent bytes first: csv with a head, or json with the total."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "byte", "line"))), lambda x: x["line"])
+    made = rendered(found.withColumn("total", F.col("count")), "percentage", form).groupBy().agg(lines.alias("lines"), F.sum("total").alias("total"))
+    if form == "csv":
+        return made.select(F.concat(F.lit("byte,count,percentage\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("text"))
+    return made.select(F.concat(F.lit('{"total":'), F.coalesce("total", F.lit(0)).cast("string"), F.lit(',"histogram":['), F.array_join("lines", ","), F.lit("]}")).alias("text"))

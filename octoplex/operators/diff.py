@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import octets
+from ..functions import kernels, octets
 from ..functions.literals import ParseError, ignore_ranges
 
-_ENTRIES = "cast(array() as array<struct<offset:bigint,old:binary,new:binary>>)"
-
 
 def entries(pairs: DataFrame, ignore: str | list[tuple[int, int]] = "", key: str = "pair_id", left: str = "a", right: str = "b") -> DataFrame:
     """(key, offset, byte1, byte2) for each place at which two blobs differ; null is past an end. Ranges can be ignored.
 
-    The blobs of a row are compared in place, so nothing is shuffled.
+    The blobs of a row are compared in place, by an Arrow kernel, so nothing is shuffled and no array of cells is made.
+    A null blob is empty.
     """
-    zipped = F.zip_with(octets.values(F.col(left)), octets.values(F.col(right)), lambda x, y: F.struct(x.alias("byte1"), y.alias("byte2")))
-    placed = F.transform(zipped, lambda s, i: F.struct(i.cast("bigint").alias("offset"), s["byte1"].alias("byte1"), s["byte2"].alias("byte2")))
-    found = pairs.select(key, F.explode(F.filter(placed, lambda s: ~s["byte1"].eqNullSafe(s["byte2"]))).alias("d")).select(key, "d.*")
+
+    def rows(batches):
+        for batch in batches:
+            keys, sides = batch.column(0), batch.columns[1:]
+            for k in range(batch.num_rows):
+                a, b = (side[k].as_py() or b"" for side in sides)
+                at = kernels.differences(a, b)
+                values = [np.frombuffer(x, np.uint8) for x in (a, b)]
+                for start in range(0, len(at), kernels.ROWS):
+                    part = at[start : start + kernels.ROWS]
+                    cells = [pa.array(v[np.minimum(part, max(len(v) - 1, 0))].astype(np.int32) if len(v) else np.zeros(len(part), np.int32), mask=part >= len(v)) for v in values]
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.full(len(part), k))), pa.array(part), *cells], names=schema.names)
+
+    kept = pairs.select(key, left, right)
+    schema = kept.select(key).schema.add("offset", "long").add("byte1", "integer").add("byte2", "integer")
+    found = kept.mapInArrow(rows, schema)
     for start, end in ignore_ranges(ignore) if isinstance(ignore, str) else ignore:
         found = found.where(~F.col("offset").between(start, end - 1))
     return found
@@ -49,20 +63,28 @@ def assessment(percent: Column) -> Column:
 def hunks(found: DataFrame, context: int = 3, key: str = "pair_id") -> DataFrame:
     """(key, hunk, first, last, entries): neighbouring differences, by a gap that widens with what the hunk holds.
 
-    The gap may be 64, or 2 context + 1; 128 once the hunk has over 20 differences, and 256 over 100.
+    The gap may be 64, or 2 context + 1; 128 once the hunk has over 20 differences, and 256 over 100. Differences that
+    the smallest gap joins are found by windows; only these runs are gone through in order, in one pass.
     """
-    place = F.array_sort(F.collect_list("offset"))
-    start = F.expr("cast(array() as array<struct<first:bigint,last:bigint,entries:bigint>>)")
-
-    def step(acc: Column, at: Column) -> Column:
-        last = F.element_at(acc, -1)
-        reach = F.greatest(F.lit(2 * context + 1), F.when(last["entries"] > 100, 256).when(last["entries"] > 20, 128).otherwise(64))
-        new = F.array(F.struct(at.alias("first"), at.alias("last"), F.lit(1).cast("bigint").alias("entries")))
-        grown = F.array(F.struct(last["first"].alias("first"), at.alias("last"), (last["entries"] + 1).alias("entries")))
-        return F.when(F.size(acc) == 0, new).when(at - last["last"] <= reach, F.concat(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.concat(acc, new))
-
-    folded = found.groupBy(key).agg(place.alias("p")).select(key, F.posexplode(F.aggregate("p", start, step)).alias("hunk", "h"))
-    return folded.select(key, "hunk", "h.*")
+    near = max(2 * context + 1, 64)
+    order = Window.partitionBy(key).orderBy("offset")
+    apart = F.coalesce(F.col("offset") - F.lag("offset").over(order) > near, F.lit(False)).cast("int")
+    numbered = found.select(key, "offset").withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(order))
+    runs = numbered.groupBy(key, "_run").agg(F.min("offset").alias("first"), F.max("offset").alias("last"), F.count("*").alias("entries"))
+
+    def joined(table: pa.Table) -> pa.Table:
+        table = table.sort_by("first")
+        out: list[list[int]] = []
+        for first, last, entries in zip(*(table.column(c).to_pylist() for c in ("first", "last", "entries")), strict=True):
+            if out and first - out[-1][1] <= max(near, 256 if out[-1][2] > 100 else 128 if out[-1][2] > 20 else 64):
+                out[-1][1:] = [last, out[-1][2] + entries]
+            else:
+                out.append([first, last, entries])
+        same = pa.chunked_array([table.column(key).combine_chunks().take(pa.array([0] * len(out), pa.int64()))])
+        return pa.table([same, pa.array(range(len(out)), pa.int32()), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names=schema.names)
+
+    schema = found.select(key).schema.add("hunk", "integer").add("first", "long").add("last", "long").add("entries", "long")
+    return runs.groupBy(key).applyInArrow(joined, schema)
 
 
 def _hex2(byte: str, missing: str) -> Column:
@@ -140,47 +162,106 @@ def reverted(patch: Column) -> Column:
     return F.transform(patch, lambda e: F.struct(e["offset"].alias("offset"), e["new"].alias("old"), e["old"].alias("new")))
 
 
-def problems(data: Column, patch: Column) -> Column:
-    """A message, or null, for each entry, judged on the blob before any change.
+def _judged(data: bytes, patch: list[tuple[int, bytes, bytes]]) -> list[str | None]:
+    """A message, or None, for each entry, judged on the blob before any change.
 
     Additions are judged by where the blob will end by then, and so may follow one another.
     """
-    n = octets.size(data)
-    grown = F.lit(0).cast("bigint")
+    out, n, added = [], len(data), 0
+    for offset, old, new in patch:
+        held = data[offset : offset + len(old)]
+        if not old:
+            out.append("Addition beyond end of file" if offset > n + added else None)
+            added += len(new)
+        elif offset >= n:
+            out.append("Offset beyond end of file")
+        elif offset + len(old) > n:
+            out.append("Old bytes extend past end of file")
+        else:
+            out.append(None if held == old else f"Mismatch: expected {old.hex()}, found {held.hex()}")
+    return out
+
 
-    def problem(e: Column, i: Column) -> Column:
-        added = F.aggregate(F.slice(patch, 1, i), grown, lambda a, x: a + F.when(F.octet_length(x["old"]) == 0, F.octet_length(x["new"])).otherwise(0))
-        held = octets.cut(data, e["offset"], F.octet_length(e["old"]))
-        return (
-            F.when((F.octet_length(e["old"]) == 0) & (e["offset"] > n + added), "Addition beyond end of file")
-            .when((F.octet_length(e["old"]) > 0) & (e["offset"] >= n), "Offset beyond end of file")
-            .when((F.octet_length(e["old"]) > 0) & (e["offset"] + F.octet_length(e["old"]) > n), "Old bytes extend past end of file")
-            .when(held != e["old"], F.concat(F.lit("Mismatch: expected "), F.lower(F.hex(e["old"])), F.lit(", found "), F.lower(F.hex(held))))
-        )
+def _patched(data: bytes, patch: list[tuple[int, bytes, bytes]]) -> tuple[bytes | None, str | None]:
+    """The changed blob, or the first problem. Changes and additions ascend; deletions shorten the end, last first."""
+    problem = next((m for m in _judged(data, patch) if m), None)
+    if problem:
+        return None, problem
+    made = bytearray(data)
+    for offset, old, new in sorted(e for e in patch if e[2]):
+        made[offset : offset + len(old)] = new
+    for offset, old, _ in sorted((e for e in patch if not e[2]), reverse=True):
+        if offset + len(old) != len(made):
+            return None, "deletion before the end"
+        del made[offset:]
+    return bytes(made), None
 
-    return F.transform(patch, problem)
+
+def _entries(value: pa.Scalar) -> list[tuple[int, bytes, bytes]]:
+    return [(e["offset"], e["old"] or b"", e["new"] or b"") for e in value.as_py() or []]
 
 
 def validate(blobs: DataFrame, key: str = "pair_id", data: str = "a", patch: str = "patch") -> DataFrame:
-    """(key, offset, success, message) for each entry of each blob's patch."""
-    judged = F.arrays_zip(F.col(patch).alias("e"), problems(F.col(data), F.col(patch)).alias("m"))
-    found = blobs.select(key, F.explode(judged).alias("j"))
-    return found.select(key, F.col("j.e.offset").alias("offset"), F.col("j.m").isNull().alias("success"), F.coalesce("j.m", F.lit("ok")).alias("message"))
+    """(key, offset, success, message) for each entry of each blob's patch. A null blob is empty."""
+
+    def rows(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                listed = _entries(batch.column(2)[k])
+                found = _judged(batch.column(1)[k].as_py() or b"", listed)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([k] * len(found), pa.int64())), pa.array([e[0] for e in listed], pa.int64()), pa.array([m is None for m in found], pa.bool_()), pa.array([m or "ok" for m in found], pa.string())],
+                    names=schema.names,
+                )
+
+    kept = blobs.select(key, data, patch)
+    schema = kept.select(key).schema.add("offset", "long").add("success", "boolean").add("message", "string")
+    return kept.mapInArrow(rows, schema)
 
 
 def apply(blobs: DataFrame, key: str = "pair_id", data: str = "a", patch: str = "patch", revert: bool = False) -> DataFrame:
-    """(key, data, error): the patched blob, or null and the first problem, all or nothing.
+    """(key, data, error): the patched blob, or null and the first problem, all or nothing. A null blob stays null.
 
     Changes and additions are made in ascending order; deletions, which may only shorten the end, from the last on.
     """
-    entry = reverted(F.col(patch)) if revert else F.col(patch)
-    rows = blobs.select(key, F.col(data).alias("_d"), F.explode(F.array(F.coalesce(entry, F.expr(_ENTRIES)))).alias("_p"))
-    error = F.element_at(F.concat(F.filter(problems(F.col("_d"), F.col("_p")), lambda m: m.isNotNull()), F.array(F.lit(None).cast("string"))), 1)
-    order = lambda deletes: F.filter("_p", lambda e: (F.octet_length(e["new"]) == 0) == F.lit(deletes))
-    changed = F.aggregate(F.array_sort(order(False)), F.col("_d"), lambda b, e: F.overlay(b, e["new"], (e["offset"] + 1).cast("int"), F.octet_length(e["old"])))
-    shortened = F.aggregate(F.reverse(F.array_sort(order(True))), changed, lambda b, e: F.when(e["offset"] + F.octet_length(e["old"]) == octets.size(b), octets.cut(b, 0, e["offset"])))
-    made = rows.withColumn("error", error).withColumn("data", F.when(F.col("error").isNull(), shortened))
-    return made.select(key, "data", F.when(F.col("error").isNull() & F.col("data").isNull() & F.col("_d").isNotNull(), "deletion before the end").otherwise(F.col("error")).alias("error"))
+
+    def rows(batches):
+        for batch in batches:
+            made = []
+            for k in range(batch.num_rows):
+                listed, value = _entries(batch.column(2)[k]), batch.column(1)[k].as_py()
+                listed = [(at, new, old) for at, old, new in listed] if revert else listed
+                made.append((None, None) if value is None else _patched(value, listed))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())], names=schema.names)
+
+    kept = blobs.select(key, data, patch)
+    schema = kept.select(key).schema.add("data", "binary").add("error", "string")
+    return kept.mapInArrow(rows, schema)
+
+
+def summary_text(pairs: DataFrame, found: DataFrame, key: str = "pair_id", left: str = "a", right: str = "b", width: int = 50) -> DataFrame:
+    """(key, text): sizes and their change, how many bytes differ, the assessment, and a bar of where they do.
+
+    Each mark of the bar stands for an equal stretch of the longer blob: a blank without differences, then . : + # by
+    quarters of the stretch.
+    """
+    n, m = octets.size(F.coalesce(left, F.lit(bytearray()))), octets.size(F.coalesce(right, F.lit(bytearray())))
+    sizes = pairs.select(key, n.alias("_n"), m.alias("_m"), F.greatest(n, m, F.lit(1)).alias("_long"))
+    step = F.ceil(F.col("_long") / width)
+    cells = found.join(sizes, key).groupBy(key, F.floor(F.col("offset") / step).cast("int").alias("_cell")).agg((F.count("*") / F.first(step)).alias("_share"), F.count("*").alias("_count"))
+    mark = F.when(F.col("_share") <= 0.25, ".").when(F.col("_share") <= 0.5, ":").when(F.col("_share") <= 0.75, "+").otherwise("#")
+    bars = cells.groupBy(key).agg(F.sum("_count").alias("_total"), F.map_from_entries(F.collect_list(F.struct("_cell", mark.alias("_mark")))).alias("_marks"))
+    rows = sizes.join(bars, key, "left").withColumn("_total", F.coalesce("_total", F.lit(0)))
+    used = F.ceil(F.col("_long") / step).cast("int")
+    bar = F.array_join(F.transform(F.sequence(F.lit(0), used - 1), lambda k: F.coalesce(F.element_at("_marks", k), F.lit(" "))), "")
+    percent = F.col("_total") * 100 / F.col("_long")
+    return rows.select(
+        key,
+        F.concat(
+            F.format_string("%d and %d bytes (%+d)\n", "_n", "_m", F.col("_m") - F.col("_n")), F.format_string("%d bytes differ (%.2f%%): ", "_total", percent),
+            assessment(percent), F.lit("\n["), bar, F.lit("]"),
+        ).alias("text"),
+    )
 
 
 def report(validated: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Addresses to a block: requests of up to a few blocks, and regions, are listed once for each that they cover.
+BLOCK = 2**28
 _LINE = r"^([0-9a-f]+)-([0-9a-f]+)\s+(\S+)\s+([0-9a-f]+)\s+(\S+)\s+(\d+)\s*(.*)$"
 
 
@@ -25,15 +27,30 @@ def with_flags(regions: DataFrame) -> DataFrame:
 def lookup(requests: DataFrame, regions: DataFrame, at: str = "address") -> DataFrame:
     """requests with the region that holds each address, or nulls.
 
-    Regions do not overlap, so the one that starts last at or before the address is the only candidate: both are put in
-    order by a window over address blocks of 2**28; a region takes part in each block it covers.
+    They are joined on address blocks: a region takes part in each block that it covers, an address in its own.
     """
-    block = lambda c: F.floor(c / F.lit(2**28)).cast("bigint")
-    cells = regions.withColumn("_b", F.explode(F.sequence(block(F.col("start")), block(F.col("end") - 1))))
-    hit = (block(F.col(at)) == F.col("_b")) & (F.col(at) >= F.col("start")) & (F.col(at) < F.col("end"))
+    cells = regions.where("start < end").withColumn("_b", _blocks(F.col("start"), F.col("end")))
+    hit = (_block(F.col(at)) == F.col("_b")) & (F.col(at) >= F.col("start")) & (F.col(at) < F.col("end"))
     return requests.join(cells, hit, "left").drop("_b")
 
 
+def _block(address) -> Column:
+    return F.floor(address / F.lit(BLOCK)).cast("bigint")
+
+
+def _blocks(start: Column, end: Column) -> Column:
+    return F.explode(F.sequence(_block(start), _block(end - 1)))
+
+
+def check_bounds(requests: DataFrame, regions: DataFrame, flag: str = "readable", key: str = "request_id") -> DataFrame:
+    """(key, problem): why a request [start, end) can't be served, or null: no region, no permission, or past its end."""
+    held = lookup(requests.select(key, F.col("start").alias("_at"), F.col("end").alias("_to")), with_flags(regions).select("start", "end", flag), "_at")
+    problem = (
+        F.when(F.col("start").isNull(), "no region at the address").when(~F.col(flag), f"the region is not {flag}").when(F.col("_to") > F.col("end"), "past the end of the region")
+    )
+    return held.select(key, problem.alias("problem"))
+
+
 def sparse_read(requests: DataFrame, regions: DataFrame, fill: str = "error", key: str = "request_id") -> DataFrame:
     """(key, start, end, kind) pieces of each request [start, end): data, or zeros for a gap with fill `zero`.
 
@@ -43,7 +60,10 @@ def sparse_read(requests: DataFrame, regions: DataFrame, fill: str = "error", ke
     if fill not in ("error", "zero", "skip"):
         raise ValueError(fill)
     r, q = with_flags(regions).where("readable").select(F.col("start").alias("rs"), F.col("end").alias("re")), requests.select(key, F.col("start").alias("qs"), F.col("end").alias("qe"))
-    data = q.join(r, (F.col("rs") < F.col("qe")) & (F.col("re") > F.col("qs")), "left")
+    # Requests and regions meet by the blocks that both cover; a pair counts in the first of these only.
+    asked = q.where("qs < qe").withColumn("_b", _blocks(F.col("qs"), F.col("qe")))
+    cells = r.where("rs < re").withColumn("_b", _blocks(F.col("rs"), F.col("re")))
+    data = asked.join(cells, "_b").where((F.col("rs") < F.col("qe")) & (F.col("re") > F.col("qs")) & (F.col("_b") == F.greatest(_block(F.col("rs")), _block(F.col("qs")))))
     data = data.select(key, "qs", "qe", F.greatest("rs", "qs").alias("s"), F.least("re", "qe").alias("e"))
     order = Window.partitionBy(key).orderBy("s")
     known = data.where(F.col("s") < F.col("e")).withColumn("next", F.coalesce(F.lead("s").over(order), F.col("qe"))).withColumn("row", F.row_number().over(order))

@@ -1,115 +1,127 @@
-"""Pattern search in blobs: exact bytes, masks and regular expressions. The sequential left-to-right result defines all."""
+"""Pattern search in blobs: exact bytes, masks and regular expressions. The sequential left-to-right result defines all.
+
+Counts and first matches of fixed patterns are JVM expressions. Lists of matches come from an Arrow kernel, which takes a
+batch of blobs as one run of bytes, so that the time is linear in the bytes and the matches.
+"""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from ..functions import octets
+from ..functions import kernels, octets
 from ..functions.literals import Exact, Mask, Pattern, Regex, Unsupported
 
-_LONGS = "cast(array() as array<bigint>)"
-
-
-def _overlaps_itself(data: bytes) -> bool:
-    return any(data[k:] == data[:-k] for k in range(1, len(data)))
 
+def _byte_source(pattern: Exact | Mask, overlapping: bool) -> str:
+    """A Java regex over a character for each byte; overlapping matches are looked ahead at."""
+    inner = "".join("." if x is None else rf"\x{x:02x}" for x in pattern.data)
+    return f"(?s)(?={inner})" if overlapping else f"(?s){inner}"
 
-def _positions(text: Column, source: str) -> Column:
-    """(offset, length) in characters of a regex's leftmost matches, from the gaps between them.
-
-    The gaps and matches have to be those of non-empty matches.
-    """
-    gaps = F.transform(F.split(text, source, -1), lambda x: F.length(x).cast("bigint"))
-    hits = F.transform(F.regexp_extract_all(text, F.lit(source), F.lit(0)), lambda x: F.length(x).cast("bigint"))
-    empty = F.expr("cast(array() as array<struct<offset:bigint,length:bigint>>)")
-    folded = F.aggregate(
-        F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))),
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")),
-        lambda a, x: F.when(x["h"].isNull(), a).otherwise(
-            F.struct((a["at"] + x["g"] + x["h"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("offset"), x["h"].alias("length")))).alias("out"))
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(F.size(hits) > 0, folded).otherwise(empty)
 
+def compiled(pattern: Regex):
+    """The regex as executors run it. Mode text has Unicode classes and $ as the very end; mode bytes reads bytes."""
+    import regex
 
-def _byte_source(pattern: Exact | Mask) -> str:
-    return "(?s)" + "".join("." if x is None else rf"\x{x:02x}" for x in pattern.data)
-
-
-def offsets(b: Column, pattern: Exact | Mask, no_overlap: bool = False) -> Column:
-    """ARRAY<BIGINT> of the places of an exact or masked pattern.
-
-    Without self-overlap, or greedily without overlaps, a compiled regex over the bytes finds the places. Else each
-    place is tried, within the bounds of the blob.
-    """
-    width = len(pattern.data)
-    if no_overlap or isinstance(pattern, Exact) and not _overlaps_itself(pattern.data):
-        return F.transform(_positions(octets.latin1(b), _byte_source(pattern)), lambda x: x["offset"])
-    n = octets.size(b)
-    places = F.when(n >= width, F.sequence(F.lit(0).cast("bigint"), n - width)).otherwise(F.expr(_LONGS))
-    if isinstance(pattern, Exact):
-        return F.filter(places, lambda i: octets.cut(b, i, width) == octets.literal(pattern.data))
-    # Runs of literal bytes, compared as a whole.
-    runs = [(m.start(), bytes(pattern.data[m.start() : m.end()])) for m in re.finditer("1+", "".join("0" if x is None else "1" for x in pattern.data))]
-
-    def fits(i: Column) -> Column:
-        out = F.lit(True)
-        for at, run in runs:
-            out = out & (octets.cut(b, i + at, len(run)) == octets.literal(run))
-        return out
-
-    return F.filter(places, fits)
-
-
-def regex_spans(b: Column, pattern: Regex) -> Column:
-    """ARRAY<STRUCT<offset, length>> in bytes.
-
-    Mode text reads the blob as UTF-8, with Unicode classes and $ as the very end; mode bytes reads a character a byte.
-    """
-    if re.fullmatch(pattern.source, "") is not None:
-        raise Unsupported("a regex that matches the empty string")
     if pattern.mode == "bytes":
-        return _positions(octets.latin1(b), pattern.source)
-    source = "(?U)" + re.sub(r"(?<!\\)((?:\\\\)*)\$", r"\1\\z", pattern.source)
-    text = F.decode(b, "UTF-8")
-    gaps = F.transform(F.split(text, source, -1), lambda x: F.octet_length(x).cast("bigint"))
-    hits = F.transform(F.regexp_extract_all(text, F.lit(source), F.lit(0)), lambda x: F.octet_length(x).cast("bigint"))
-    empty = F.expr("cast(array() as array<struct<offset:bigint,length:bigint>>)")
-    step = lambda a, x: F.when(x["h"].isNull(), a).otherwise(F.struct((a["at"] + x["g"] + x["h"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("offset"), x["h"].alias("length")))).alias("out")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-    return F.aggregate(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))), start, step, lambda a: a["out"])
+        return re.compile(re.sub(r"(?<!\\)((?:\\\\)*)\$", r"\1\\Z", pattern.source).encode("latin-1"))
+    return regex.compile(re.sub(r"(?<!\\)((?:\\\\)*)\$", r"\1\\Z", pattern.source))
+
+
+def _regex_hits(column: pa.Array, pattern: Regex, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop) in bytes of the matches in each value; invalid UTF-8 counts as the replacement character."""
+    source, rows, starts, stops = compiled(pattern), [], [], []
+    for k, value in enumerate(column):
+        data = value.as_py()
+        if data is None:
+            continue
+        if pattern.mode == "bytes":
+            found = kernels.matches(source, data)
+        else:
+            text = data.decode("utf-8", "replace")
+            found = kernels.matches(source, text)
+            if len(data) != len(text):
+                edges = np.fromiter((len(c.encode()) for c in text), np.int64, len(text)) if "�" not in text else _byte_widths(data)
+                edges = np.concatenate(([0], np.cumsum(edges)))
+                found = [(int(edges[a]), int(edges[b])) for a, b in found]
+        found = found[:1] if first else found
+        rows += [k] * len(found)
+        starts += [a for a, _ in found]
+        stops += [b for _, b in found]
+    return np.array(rows, np.int64), np.array(starts, np.int64), np.array(stops, np.int64)
+
+
+def _byte_widths(data: bytes) -> np.ndarray:
+    """Of each character of the leniently decoded bytes, how many bytes it stands for."""
+    import codecs
+
+    widths: list[int] = []
+    decoder, at = codecs.getincrementaldecoder("utf-8")("strict"), 0
+    while at < len(data):
+        decoder.reset()
+        try:
+            text = data[at:].decode("utf-8")
+            widths += [len(c.encode()) for c in text]
+            break
+        except UnicodeDecodeError as e:
+            widths += [len(c.encode()) for c in data[at : at + e.start].decode("utf-8")]
+            widths.append(e.end - e.start)
+            at += e.end
+    return np.array(widths, np.int64)
 
 
 def search(df: DataFrame, pattern: Pattern, find_all: bool = True, no_overlap: bool = False, context: int = 0, key: str = "blob_id") -> DataFrame:
     """(key, offset, match): a row for each match, or for the first of each blob. With context, before and after too.
 
-    Blobs that cannot match are dropped before any places are listed.
+    Blobs that cannot match are dropped before any bytes leave the JVM. A null blob has no match. Without context, the
+    first match of a fixed pattern never leaves it.
     """
-    b = F.col("data")
-    if isinstance(pattern, Regex):
-        spans = regex_spans(b, pattern)
-    else:
-        if not pattern.data:
-            raise Unsupported("an empty pattern")
-        if isinstance(pattern, Exact):
-            df = df.where(F.contains(b, octets.literal(pattern.data)))
-        spans = F.transform(offsets(b, pattern, no_overlap), lambda o: F.struct(o.alias("offset"), F.lit(len(pattern.data)).cast("bigint").alias("length")))
-    spans = spans if find_all else F.slice(spans, 1, 1)
-    found = df.withColumn("_m", F.explode(spans))
-    start, length = F.col("_m.offset"), F.col("_m.length")
-    columns = [F.col(key), start.alias("offset"), octets.cut(b, start, length).alias("match")]
-    if context:
-        lead = F.least(start, F.lit(context).cast("bigint"))
-        columns += [octets.cut(b, start - lead, lead).alias("before"), octets.cut(b, start + length, context).alias("after")]
-    return found.select(*columns)
+    fixed = not isinstance(pattern, Regex)
+    if fixed and not pattern.data:
+        raise Unsupported("an empty pattern")
+    if isinstance(pattern, Exact):
+        df = df.where(F.contains("data", octets.literal(pattern.data)))
+    if fixed and not find_all:
+        at = F.regexp_instr(octets.latin1(F.col("data")), F.lit(_byte_source(pattern, False))).cast("bigint") - 1
+        start, b = F.col("offset"), F.col("data")
+        found = df.select(F.col(key), "data", at.alias("offset")).where("offset >= 0")
+        return found.select(key, "offset", octets.cut(b, start, len(pattern.data)).alias("match"), *_around(b, start, len(pattern.data), context))
+
+    def rows(batches):
+        for batch in batches:
+            keys, data = batch.columns
+            if fixed:
+                row, start = kernels.find(data, pattern.data, no_overlap)
+                stop = start + len(pattern.data)
+            else:
+                row, start, stop = _regex_hits(data, pattern, not find_all)
+            bounds = kernels.buffer(data)[1]
+            for a in range(0, len(row), kernels.ROWS):
+                r, s, e = (x[a : a + kernels.ROWS] for x in (row, start, stop))
+                out = [keys.take(pa.array(r)), pa.array(s), kernels.slices(data, r, s, e)]
+                if context:
+                    size = bounds[r + 1] - bounds[r]
+                    out += [kernels.slices(data, r, np.maximum(s - context, 0), s), kernels.slices(data, r, e, np.minimum(e + context, size))]
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    kept = df.select(key, "data")
+    binary = ["match", "before", "after"] if context else ["match"]
+    schema = StructType([kept.schema[0], StructField("offset", LongType()), *(StructField(c, BinaryType()) for c in binary)])
+    return kept.mapInArrow(rows, schema)
+
+
+def _around(b: Column, start: Column, width: int, context: int) -> list[Column]:
+    lead = F.least(start, F.lit(context).cast("bigint"))
+    return [octets.cut(b, start - lead, lead).alias("before"), octets.cut(b, start + width, context).alias("after")] if context else []
 
 
 def count(df: DataFrame, pattern: Exact | Mask, no_overlap: bool = False, key: str = "blob_id") -> DataFrame:
-    return df.select(key, F.size(offsets(F.col("data"), pattern, no_overlap)).cast("bigint").alias("matches"))
+    return df.select(key, F.regexp_count(octets.latin1(F.coalesce("data", F.lit(bytearray()))), F.lit(_byte_source(pattern, not no_overlap))).cast("bigint").alias("matches"))
 
 
 def search_chunked(df: DataFrame, pattern: Exact | Mask, chunk: int = 1 << 20, key: str = "blob_id") -> DataFrame:
@@ -120,8 +132,9 @@ def search_chunked(df: DataFrame, pattern: Exact | Mask, chunk: int = 1 << 20, k
     width, n = len(pattern.data), octets.size(F.col("data"))
     starts = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(chunk).cast("bigint")))
     pieces = df.select(key, "data", F.explode(starts).alias("base")).select(key, "base", octets.cut(F.col("data"), F.col("base"), chunk + width - 1).alias("data"))
-    hits = pieces.repartition(key, "base").select(key, "base", F.explode(offsets(F.col("data"), pattern)).alias("o"))
-    return hits.where(F.col("o") < chunk).select(key, (F.col("base") + F.col("o")).alias("offset"))
+    named = pieces.repartition(key, "base").select(F.struct(key, "base").alias("piece"), "data")
+    hits = search(named, pattern, key="piece").where(F.col("offset") < chunk)
+    return hits.select(F.col(f"piece.{key}").alias(key), (F.col("piece.base") + F.col("offset")).alias("offset"))
 
 
 def context_text(kind: str = "hex") -> Column:

@@ -37,7 +37,10 @@ def tokens(text: str) -> list[tuple[str, str]]:
 
 
 class Expression:
-    """or < and < not < one comparison < + - < * / % < one ** < sign. Values are whole numbers; tests give 0 or 1."""
+    """or < and < not < one comparison < + - < * / % < one ** < sign. Values are whole numbers; tests give 0 or 1.
+
+    A division by zero gives null, and so does what is computed from a field that is not there.
+    """
 
     def __init__(self, text: str, scope: dict[str, Column]):
         self.text, self.scope, self.left = text, scope, tokens(text)
@@ -94,7 +97,7 @@ class Expression:
             if sign == "*":
                 out = (out * other).cast(WIDE)
             else:
-                safe = F.when(other == 0, F.raise_error(F.lit(f"division by zero in {self.text}")).cast(WIDE)).otherwise(other)
+                safe = F.nullif(other, F.lit(0).cast(WIDE))  # null, which gives the blob its error
                 rest = (out % safe).cast(WIDE)
                 out = rest if sign == "%" else ((out - rest) / safe).cast(WIDE)
         return out
@@ -229,8 +232,7 @@ def _amount(text: str | None, scope: dict[str, Column], what: str) -> Column | N
         return None
     text = text.strip()
     if text.startswith("$"):
-        value = Expression(text, scope).column().cast("bigint")
-        return F.when(value < 0, F.raise_error(F.lit(f"negative {what}")).cast("bigint")).otherwise(value)
+        return Expression(text, scope).column().cast("bigint")  # checked per blob, by _wrong
     try:
         value = int(text, 0)
     except ValueError:
@@ -240,6 +242,12 @@ def _amount(text: str | None, scope: dict[str, Column], what: str) -> Column | N
     return F.lit(value).cast("bigint")
 
 
+def _wrong(f: Field, **amounts: Column) -> Column:
+    """A message where an offset, size or count is negative or can't be computed."""
+    found = [F.when(x.isNull(), F.lit(f"{f.name}: the {what} can't be computed")).when(x < 0, F.lit(f"{f.name}: negative {what}")) for what, x in amounts.items()]
+    return F.coalesce(*found)
+
+
 def _named(number: Column, enum: dict[str, str]) -> Column:
     shown = number.cast("string")
     if not enum:
@@ -255,7 +263,7 @@ def _bit_value(raw: Column, shift: int, size: int, big: bool, signed: bool) -> C
     else:
         text = F.reverse(F.substring(F.reverse(octets.bits(octets.reversed_bytes(raw))), F.lit(shift + 1), F.lit(size)))
     value = F.conv(text, 2, 10).cast(WIDE)
-    return F.when(value >= F.lit(2 ** (size - 1)).cast(WIDE), value - F.lit(2**size).cast(WIDE)).otherwise(value).cast(WIDE) if signed else value
+    return F.when(value >= F.lit(str(2 ** (size - 1))).cast(WIDE), value - F.lit(str(2**size)).cast(WIDE)).otherwise(value).cast(WIDE) if signed else value
 
 
 def _decoded(f: Field, b: Column, at: Column, size: Column, big: bool) -> tuple[Column, Column | None, Column]:
@@ -288,21 +296,22 @@ def _width(f: Field, scope: dict[str, Column]) -> Column:
     return size
 
 
-def _parsed(name: str, at: Column, size: Column, value: Column, number: Column | None, passed: Column | None, present: Column) -> Column:
+def _parsed(name: str | Column, at: Column, size: Column, value: Column, number: Column | None, passed: Column | None, present: Column) -> Column:
     none = F.lit(None)
     entry = F.struct(
-        F.lit(name).alias("name"), at.alias("offset"), size.cast("bigint").alias("size"), value.alias("value"),
+        (F.lit(name) if isinstance(name, str) else name).alias("name"), at.alias("offset"), size.cast("bigint").alias("size"), value.alias("value"),
         (number if number is not None else none).cast(WIDE).alias("number"), (passed if passed is not None else none).cast("boolean").alias("passed"),
     )
     return F.when(present, entry)
 
 
 def parse(df: DataFrame, t: Template, fields: list[str] | None = None, key: str = "blob_id", base: int = 0) -> DataFrame:
-    """(key, name, offset, size, value, number, passed, error): a row for each field of each blob.
+    """(key, name, offset, size, value, number, passed, error, position): a row for each field of each blob, in order.
 
     Fields are compiled in order; each may refer to the numbers before it. All are evaluated whichever are asked for,
-    and the others are pruned. A field past the end gives the blob a single row with an error. Bit fields follow their
-    parent as parent.name, elements as name[i] and name[i].part. After an array, what follows starts at its end.
+    and the others are pruned. A field past the end, a negative offset, size or count, or one that can't be computed gives
+    the blob a single row with an error. Bit fields follow their parent as parent.name, elements as name[i] and
+    name[i].part. After an array, what follows starts at its end. A null blob has no rows.
     """
     b, n = F.col("data"), octets.size(F.col("data"))
     rows = df.select(key, "data")
@@ -321,23 +330,25 @@ def parse(df: DataFrame, t: Template, fields: list[str] | None = None, key: str
         if f.type == "computed" or f.value:
             rows = rows.withColumn(names["number"], F.when(here, Expression(f.value, scope).column()))
             number = F.col(names["number"])
+            bad.append(F.when(here & number.isNull(), F.lit(f"{f.name}: the value can't be computed")))
             parts.append(F.array(_parsed(f.name, at, F.lit(0), _named(number, f.enum), number, None, here)))
             scope[f.name] = number
             continue
         if f.count:
-            made, end, over = _array(f, t, b, n, at, scope)
-            rows = rows.withColumn(names["value"], F.when(here & ~over, made))
-            bad.append(F.when(here & over, F.lit(f"{f.name} ends beyond the data")))
+            made, end, wrong = _array(f, t, b, n, at, scope)
+            rows = rows.withColumn(names["number"], F.when(here, wrong))
+            bad.append(F.col(names["number"]))
+            rows = rows.withColumn(names["value"], F.when(here & F.col(names["number"]).isNull(), made))
             parts.append(F.coalesce(F.col(names["value"]), F.expr("cast(array() as array<struct<name:string,offset:bigint,size:bigint,value:string,number:decimal(38,0),passed:boolean>>)")))
             rows = rows.withColumn(names["size"], F.when(here, end).otherwise(previous))
             previous = F.col(names["size"])
             continue
         rows = rows.withColumn(names["size"], _width(f, scope))
         size = F.col(names["size"])
-        inside = here & (at + size <= n)
+        inside = here & (at >= 0) & (size >= 0) & (at + size <= n)
         value, number, raw = _decoded(f, b, at, size, t.endian == "big")
         rows = rows.withColumn(names["value"], F.when(inside, value))
-        bad.append(F.when(here & (at + size > n), F.lit(f"{f.name} ends beyond the data")))
+        bad.append(F.when(here, F.coalesce(_wrong(f, offset=at, size=size), F.when(at + size > n, F.lit(f"{f.name} ends beyond the data")))))
         passed = None
         if f.expected is not None:
             digits = re.sub(r"0[xX]|\s", "", f.expected)
@@ -351,8 +362,7 @@ def parse(df: DataFrame, t: Template, fields: list[str] | None = None, key: str
         for bit in f.bitfields if number is not None else []:
             if bit.end >= (f.bit_size or INTEGERS[f.type][0]):
                 continue
-            cut = F.pmod(F.floor(number / F.lit(2**bit.start)).cast(WIDE), F.lit(2 ** (bit.end - bit.start + 1)).cast(WIDE)).cast(WIDE)
-            shown = F.when(cut == 1, "true").otherwise("false") if bit.start == bit.end and not bit.enum else _named(cut, bit.enum)
+            cut, shown = _bit_field(number, bit)
             scope[f"{f.name}.{bit.name}"] = cut
             listed.append(_parsed(f"{f.name}.{bit.name}", at, size, shown, cut, None, inside))
         parts.append(F.array(*listed))
@@ -361,34 +371,80 @@ def parse(df: DataFrame, t: Template, fields: list[str] | None = None, key: str
     error = F.coalesce(*bad) if bad else F.lit(None).cast("string")
     listed = F.filter(F.concat(*parts), lambda x: x.isNotNull())
     failed = F.array(F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in (("name", "string"), ("offset", "bigint"), ("size", "bigint"), ("value", "string"), ("number", WIDE), ("passed", "boolean"))]))
-    out = rows.withColumn("error", error).select(key, "error", F.explode(F.when(F.col("error").isNull(), listed).otherwise(failed)).alias("p"))
-    out = out.select(key, "p.*", "error")
+    out = rows.withColumn("error", error).select(key, "error", F.posexplode(F.when(F.col("error").isNull(), listed).otherwise(failed)).alias("position", "p"))
+    out = out.select(key, "p.*", "error", "position")
     if fields is not None:
         out = out.where(F.col("error").isNotNull() | F.col("name").isin(fields) | F.regexp_replace("name", r"[\[.].*$", "").isin(fields))
     return out
 
 
 def _array(f: Field, t: Template, b: Column, n: Column, at: Column, scope: dict[str, Column]) -> tuple[Column, Column, Column]:
-    """The elements as parsed entries, where they end, and whether that is past the data."""
+    """The elements as parsed entries, where they end, and what is wrong with them.
+
+    An element template has a fixed size, up to where its literal fields end; its fields are compiled in a scope of
+    their own, with the element's place as @base and as the start of their offsets.
+    """
     count = Expression(f.count, scope).column().cast("bigint")
-    count = F.when(count < 0, F.raise_error(F.lit(f"{f.name}: negative count")).cast("bigint")).otherwise(count)
-    inner = f.element.fields if f.element else [Field("", f.type, size=f.size, enum=f.enum)]
-    endian = (f.element.endian if f.element else t.endian) == "big"
-    widths = [_width(x, scope) for x in inner]
-    width = sum(widths[1:], widths[0])
+    inner = f.element or Template("", [Field("", f.type, size=f.size, enum=f.enum)], t.endian)
+    width = F.lit(total_size(f.element)).cast("bigint") if f.element else _width(inner.fields[0], scope)
+    if f.element and not total_size(f.element):
+        raise ParseError(f"{f.name}: the element template has no size")
     places = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    end = at + count * width
+    wrong = F.coalesce(_wrong(f, offset=at, size=width, count=count), F.when(end > n, F.lit(f"{f.name} ends beyond the data")))
 
     def element(i: Column) -> Column:
-        out, place = [], at + i * width
-        for x, w in zip(inner, widths, strict=True):
-            value, number, _ = _decoded(x, b, place, w, endian)
-            label = F.concat(F.lit(f"{f.name}["), i.cast("string"), F.lit("]" + (f".{x.name}" if x.name else "")))
-            out.append(F.struct(label.alias("name"), place.alias("offset"), w.alias("size"), value.alias("value"), (number if number is not None else F.lit(None)).cast(WIDE).alias("number"), F.lit(None).cast("boolean").alias("passed")))
-            place = place + w
-        return F.array(*out)
+        label = F.concat(F.lit(f"{f.name}["), i.cast("string"), F.lit("]" if not f.element else "]."))
+        if not f.element:
+            value, number, _ = _decoded(inner.fields[0], b, at + i * width, width, inner.endian == "big")
+            return F.array(_parsed(label, at + i * width, width, value, number, None, F.lit(True)))
+        return octets.let(at + i * width, lambda place: _nested(inner, b, n, place, scope, label))
+
+    return F.flatten(F.transform(places, element)), end, wrong
 
-    end = at + count * width
-    return F.flatten(F.transform(places, element)), end, end > n
+
+def _nested(t: Template, b: Column, n: Column, base: Column, outer: dict[str, Column], label: Column) -> Column:
+    """The entries of one element. Each field is bound once, and the next is compiled inside that binding."""
+
+    def step(k: int, previous: Column, scope: dict[str, Column], parts: list[Column]) -> Column:
+        if k == len(t.fields):
+            return F.filter(F.concat(*parts), lambda x: x.isNotNull())
+        f = t.fields[k]
+        scope = scope | {"@prev_end": previous.cast(WIDE), "@current": previous.cast(WIDE), "@base": base.cast(WIDE)}
+        here = F.coalesce(Expression(f.when, scope).column() != 0, F.lit(False)) if f.when else F.lit(True)
+        at = _amount(f.offset, scope, "offset")
+        at = previous if at is None else at + base
+        name = F.concat(label, F.lit(f.name))
+        if f.type == "computed" or f.value:
+            bound = F.struct(here.alias("here"), at.alias("at"), F.when(here, Expression(f.value, scope).column()).alias("number"))
+            return octets.let(bound, lambda x: step(k + 1, previous, scope | {f.name: x["number"]}, [*parts, F.array(_parsed(name, x["at"], F.lit(0), _named(x["number"], f.enum), x["number"], None, x["here"]))]))
+        if f.count:
+            raise Unsupported(f"{f.name}: an array inside an element")
+        bound = F.struct(here.alias("here"), at.cast("bigint").alias("at"), _width(f, scope).alias("size"))
+
+        def placed(x: Column) -> Column:
+            inside = x["here"] & (x["at"] >= 0) & (x["size"] >= 0) & (x["at"] + x["size"] <= n)
+            value, number, raw = _decoded(f, b, x["at"], x["size"], t.endian == "big")
+            passed = raw == octets.literal(bytes.fromhex(re.sub(r"0[xX]|\s", "", f.expected))) if f.expected is not None and f.bit_size is None else None
+            listed = [_parsed(name, x["at"], x["size"], value, number, passed, inside)]
+            after = F.when(x["here"], x["at"] + x["size"]).otherwise(previous)
+            names = {f.name: F.when(inside, number)} if number is not None else {}
+            for bit in f.bitfields if number is not None else []:
+                if bit.end < (f.bit_size or INTEGERS[f.type][0]):
+                    cut, shown = _bit_field(number, bit)
+                    names[f"{f.name}.{bit.name}"] = cut
+                    listed.append(_parsed(F.concat(name, F.lit(f".{bit.name}")), x["at"], x["size"], shown, cut, None, inside))
+            return step(k + 1, after, scope | names, [*parts, F.array(*listed)])
+
+        return octets.let(bound, placed)
+
+    return step(0, base, {k: v for k, v in outer.items() if k == "@file_size"}, [])
+
+
+def _bit_field(number: Column, bit: Bits) -> tuple[Column, Column]:
+    """The bits' number, and how it is shown: a single bit without names as true or false."""
+    cut = F.pmod(F.floor(number / F.lit(str(2**bit.start)).cast(WIDE)).cast(WIDE), F.lit(str(2 ** (bit.end - bit.start + 1))).cast(WIDE)).cast(WIDE)
+    return cut, F.when(cut == 1, "true").otherwise("false") if bit.start == bit.end and not bit.enum else _named(cut, bit.enum)
 
 
 def wide(parsed: DataFrame, names: list[str], key: str = "blob_id") -> DataFrame:
@@ -398,3 +454,28 @@ def wide(parsed: DataFrame, names: list[str], key: str = "blob_id") -> DataFrame
 
 def assertions(parsed: DataFrame, key: str = "blob_id") -> DataFrame:
     return parsed.groupBy(key).agg(F.coalesce(F.bool_and("passed"), F.lit(True)).alias("all_passed"))
+
+
+def rendered(parsed: DataFrame, form: str = "json", key: str = "blob_id") -> DataFrame:
+    """(key, text): a blob's fields as a JSON object, as YAML lines, or as a table with offsets and sizes.
+
+    A failed assertion is marked; a blob with an error has its message only.
+    """
+    entry = F.struct("position", F.col("offset").alias("at"), "name", "size", "value", "number", "passed")
+    grouped = parsed.groupBy(key).agg(F.max("error").alias("error"), F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), entry))).alias("f"))
+    if form == "json":
+        body = F.to_json(F.map_from_entries(F.transform("f", lambda x: F.struct(x["name"], x["value"]))))
+        failed = F.to_json(F.struct("error"))
+    elif form == "yaml":
+        line = lambda x: F.concat(x["name"], F.lit(": "), F.when(x["number"].isNotNull() | x["value"].startswith('"'), x["value"]).otherwise(F.concat(F.lit("'"), x["value"], F.lit("'"))))
+        body = F.array_join(F.transform("f", line), "\n")
+        failed = F.concat(F.lit("error: "), F.col("error"))
+    elif form == "table":
+        wide = F.greatest(F.lit(4), F.array_max(F.transform("f", lambda x: F.char_length(x["name"]))))
+        mark = lambda x: F.when(x["passed"], " ok").when(~x["passed"], " FAILED").otherwise("")
+        line = lambda x: F.concat(octets.offset8(x["at"]), F.lit("  "), F.lpad(x["size"].cast("string"), 5, " "), F.lit("  "), F.rpad(x["name"], wide, F.lit(" ")), F.lit("  "), x["value"], mark(x))
+        body = F.array_join(F.transform("f", line), "\n")
+        failed = F.concat(F.lit("error: "), F.col("error"))
+    else:
+        raise Unsupported(f"unknown form: {form}")
+    return grouped.select(key, F.when(F.col("error").isNull(), body).otherwise(failed).alias("text"))

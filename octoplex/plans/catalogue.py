@@ -54,10 +54,13 @@ def _shown(kind):
     return lambda spark, d: _docs(spark, d).select("doc_id", F.md5(octets.display(F.col("data"), kind).cast("binary")).alias("digest"))
 
 
-#: Cells of a fixed width are joined first; then each sixteenth blank becomes a line end. dec and oct have no such SQL.
+#: Cells of a fixed width are joined first; then each sixteenth blank becomes a line end. Others are joined line by line.
 _LINES = "SELECT doc_id, md5(regexp_replace(array_to_string({}, ' '), '(.{{{}}}) ', '\\1' || chr(10), 'g')) AS digest FROM documents"
 for _kind in ("hex", "dec", "oct", "bin", "ascii"):
     QUERIES[f"display_{_kind}"] = _shown(_kind)
+_CELLS = f"SELECT doc_id, md5(string_agg(CASE WHEN k = 0 THEN '' WHEN k % 16 = 0 THEN chr(10) ELSE ' ' END || {{}}, '' ORDER BY k)) AS digest FROM {_EACH} GROUP BY 1"
+ORACLE_SQL["display_dec"] = _CELLS.format(f"CAST({_ORDINAL.format('h')} AS VARCHAR)")
+ORACLE_SQL["display_oct"] = _CELLS.format(f"format('{{:o}}', {_ORDINAL.format('h')})")
 ORACLE_SQL["display_hex"] = _LINES.format(_DOC, 47)
 ORACLE_SQL["display_bin"] = _LINES.format(f"list_transform({_DOC}, lambda h: right(bin({_ORDINAL.format('h')} + 256), 8))", 143)
 _PRINTED = f"CASE WHEN h BETWEEN '20' AND '7e' THEN chr({_ORDINAL.format('h')}) ELSE '.' END"
@@ -143,7 +146,7 @@ def search_regex(spark, d):
     return search.search(_docs(spark, d), pattern("[a-z]+ing", "regex"), key="doc_id").select("doc_id", F.decode("match", "UTF-8").alias("word"))
 
 
-@query()
+@query("SELECT doc_id, CAST(len(list_filter(p, lambda h: h = 'c3')) AS BIGINT) AS matches FROM (SELECT doc_id, " + _DOC + " AS p FROM documents) WHERE list_contains(p, 'c3')")
 def search_hex_regex(spark, d):
     return search.search(_docs(spark, d), pattern("C3 .", "hex-regex"), key="doc_id").groupBy("doc_id").agg(F.count("*").alias("matches"))
 
@@ -200,7 +203,27 @@ for _algo in ("md5", "sha1", "sha256"):
     QUERIES[f"hash_{_algo}"] = lambda spark, d, a=_algo: _docs(spark, d).select("doc_id", digest.digest(F.col("data"), a).alias("digest"))
     ORACLE_SQL[f"hash_{_algo}"] = f"SELECT doc_id, {_algo}(encode(text)) AS digest FROM documents"
 for _algo in ("crc32", "xxhash64", "blake3"):
-    QUERIES[f"hash_{_algo}"] = lambda spark, d, a=_algo: blobs.from_text(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id", "text").select(F.col("blob_id").alias("item_id"), digest.digest(F.col("data"), a).alias("digest"))
+    QUERIES[f"hash_{_algo}"] = lambda spark, d, a=_algo: _docs(spark, d).select("doc_id", digest.digest(F.col("data"), a).alias("digest"))
+#: Eight shifts for each byte.
+_CRC = "list_reduce({}, lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END, xor(c, b)), 4294967295)"
+ORACLE_SQL["hash_crc32"] = f"SELECT doc_id, lpad(printf('%x', xor({_CRC.format('p')}, 4294967295)), 8, '0') AS digest FROM (SELECT doc_id, list_transform({_DOC}, lambda h: CAST({_ORDINAL.format('h')} AS BIGINT)) AS p FROM documents)"
+
+# Published vectors.
+_VECTORS = (
+    ("xxhash64", "", "ef46db3751d8e999"), ("xxhash64", "hello", "26c7827d889f6da3"), ("crc32", "123456789", "cbf43926"),
+    ("blake3", "", "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"), ("blake3", "hello", "ea8f163db38682925e4491c5e58d4bb3506ef8c14eb78a86e908c5624a67200f"),
+    ("blake3", "abc", "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"), ("md5", "", "d41d8cd98f00b204e9800998ecf8427e"), ("sha1", "hello", "aaf4c61ddcc5e8a2dabede0f3b482cd9aea9434d"),
+)
+
+
+@query("SELECT * FROM (VALUES {}) v(algorithm, input, digest)".format(", ".join(map(str, _VECTORS))))
+def hash_vectors(spark, d):
+    rows = spark.createDataFrame([x[:2] for x in _VECTORS], "algorithm string, input string").withColumn("data", F.encode("input", "UTF-8"))
+    parts = [rows.where(F.col("algorithm") == a).select("algorithm", "input", digest.digest(F.col("data"), a).alias("digest")) for a in sorted({x[0] for x in _VECTORS})]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
 
 
 @query("SELECT doc_id, base64(unhex(md5(encode(text)))) AS digest FROM documents")
@@ -250,11 +273,47 @@ def diff_ignore(spark, d):
     return diff.entries(_pairs(spark, d), "0..0x10,32").groupBy("pair_id").agg(F.count("*").alias("total"))
 
 
-@query()
+_GAP = "greatest(7, CASE WHEN a.n > 100 THEN 256 WHEN a.n > 20 THEN 128 ELSE 64 END)"
+
+
+@query(
+    f"WITH {_BOTH}, o AS (SELECT pair_id, list({{'f': CAST(k AS BIGINT), 'l': CAST(k AS BIGINT), 'n': CAST(1 AS BIGINT), 'out': CAST([] AS STRUCT(f BIGINT, l BIGINT, n BIGINT)[])}} ORDER BY k) AS p FROM e GROUP BY 1), "
+    f"r AS (SELECT pair_id, list_reduce(p, lambda a, x: CASE WHEN x.l - a.l <= {_GAP} THEN {{'f': a.f, 'l': x.l, 'n': a.n + 1, 'out': a.out}} ELSE {{'f': x.f, 'l': x.l, 'n': x.n, 'out': list_append(a.out, {{'f': a.f, 'l': a.l, 'n': a.n}})}} END) AS r FROM o), "
+    "h AS (SELECT pair_id, list_append(r.out, {'f': r.f, 'l': r.l, 'n': r.n}) AS h FROM r) "
+    "SELECT pair_id, CAST(i - 1 AS INTEGER) AS hunk, h[i].f AS first, h[i].l AS last, h[i].n AS entries FROM (SELECT pair_id, h, unnest(range(1, len(h) + 1)) AS i FROM h)"
+)
 def diff_hunks(spark, d):
     return diff.hunks(diff.entries(_pairs(spark, d)))
 
 
+@query(f"WITH {_BOTH} SELECT pair_id, count(*) AS total, max('0x' || printf('%08x', k) || ': ' || coalesce('0x' || byte1, 'EOF') || ' != ' || coalesce('0x' || byte2, 'EOF')) AS last FROM e GROUP BY 1")
+def diff_simple_lines(spark, d):
+    return diff.simple_lines(diff.entries(_pairs(spark, d))).groupBy("pair_id").agg(F.count("*").alias("total"), F.max("line").alias("last"))
+
+
+@query(f"WITH {_BOTH} SELECT count(*) AS good, CAST(sum(k) AS BIGINT) AS places, count(*) FILTER (WHERE byte1 IS NULL) AS added, CAST(0 AS BIGINT) AS bad FROM e")
+def patch_parse(spark, d):
+    read = diff.parse_patch(diff.patch_lines(diff.entries(_pairs(spark, d))), "line")
+    return read.agg(F.count_if(F.col("error").isNull()).alias("good"), F.sum("offset").alias("places"), F.count_if(F.octet_length("old") == 0).alias("added"), F.count("error").alias("bad"))
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 5 <> 0) AS succeeded, count(*) FILTER (WHERE doc_id % 5 = 0) AS failed FROM documents")
+def patch_validate(spark, d):
+    """The first byte of each document turned to zero; in every fifth patch the old byte is wrong."""
+    first = octets.cut(F.col("data"), 0, 1)
+    entry = F.struct(F.lit(0).cast("bigint").alias("offset"), F.when(F.col("doc_id") % 5 == 0, octets.literal(b"\x00")).otherwise(first).alias("old"), octets.literal(b"\x00").alias("new"))
+    return diff.report(diff.validate(_docs(spark, d).withColumn("patch", F.array(entry)), "doc_id", "data"))
+
+
+@query(f"WITH {_BOTH}, t AS (SELECT pair_id, count(*) AS n FROM e GROUP BY 1), s AS (SELECT x.doc_id AS pair_id, greatest(strlen(x.text), strlen(y.text), 1) AS m FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1) SELECT CASE WHEN coalesce(n, 0) / m < 0.01 THEN 'simple' WHEN n / m < 0.5 THEN 'unified' ELSE 'summary' END AS form, CASE WHEN n / m > 0.8 THEN 'completely different' WHEN n / m > 0.5 THEN 'mostly different' WHEN n / m > 0.1 THEN 'partly different' WHEN n / m > 0 THEN 'nearly equal' ELSE 'equal' END AS assessment, count(*) AS pairs FROM s LEFT JOIN t USING (pair_id) GROUP BY 1, 2")
+def diff_forms(spark, d):
+    pairs = _pairs(spark, d)
+    total = F.coalesce("total", F.lit(0))
+    longest = F.greatest(octets.size(F.col("a")), octets.size(F.col("b")), F.lit(1))
+    rows = pairs.join(diff.summary(diff.entries(pairs)), "pair_id", "left")
+    return rows.groupBy(diff.auto_format(total, longest).alias("form"), diff.assessment(total * 100 / longest).alias("assessment")).agg(F.count("*").alias("pairs"))
+
+
 @query("SELECT x.doc_id AS pair_id, md5(encode(y.text)) AS digest, CAST(NULL AS VARCHAR) AS error FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1")
 def patch_apply(spark, d):
     pairs = _pairs(spark, d)
@@ -291,6 +350,26 @@ def convert_1252_round_trip(spark, d):
     return _md5(convert.convert(there, source="windows-1252"))
 
 
+_CR = "replace(text, chr(10), chr(13) || chr(10))"
+for _style, _end in (("unix", 10), ("mac", 13)):
+    QUERIES[f"convert_{_style}"] = lambda spark, d, s=_style: _md5(convert.convert(convert.convert(_docs(spark, d), line_ends="windows").drop("error"), line_ends=s))
+    ORACLE_SQL[f"convert_{_style}"] = f"SELECT doc_id, md5(encode(replace({_CR}, chr(13) || chr(10), chr({_end})))) AS digest FROM documents"
+
+
+@query("SELECT doc_id, md5(encode(text)) AS digest FROM documents")
+def convert_utf16be_round_trip(spark, d):
+    there = convert.convert(_docs(spark, d), target="utf-16be").drop("error")
+    return _md5(convert.convert(there, source="utf-16be"))
+
+
+@query("SELECT doc_id, md5(encode(text || chr(65533))) AS replaced, md5(encode(text)) AS ignored, 'invalid utf-8' AS error FROM documents")
+def convert_errors(spark, d):
+    """Each document with a byte after it that no UTF-8 text has."""
+    bad = _docs(spark, d).withColumn("data", F.concat("data", octets.literal(b"\xff")))
+    made = [convert.convert(bad, on_error=m).select("doc_id", F.md5("data").alias(n)) for m, n in (("replace", "replaced"), ("ignore", "ignored"))]
+    return made[0].join(made[1], "doc_id").join(convert.convert(bad).select("doc_id", "error"), "doc_id")
+
+
 _ITEM = """
 name: item
 endian: {}
@@ -341,6 +420,47 @@ def struct_dynamic(spark, d):
     return parsed.groupBy("name").agg(F.count("*").alias("fields"), F.sum("number").cast("bigint").alias("total"))
 
 
+_SIGNED = """
+name: signed
+endian: big
+fields:
+  - {name: head, type: i64, assert: "ffffffffffffffff"}
+  - {name: order, type: i32}
+  - {name: low, type: i8, offset: 11, bit_offset: 4, bit_size: 4}
+  - name: lines
+    type: u8
+    offset: 12
+    count: 2
+    element_template:
+      name: line
+      endian: big
+      fields:
+        - {name: number, type: u8, offset: 0}
+        - {name: more, type: computed, value: $number + 1, when: $number > 3}
+"""
+
+
+@query(
+    "SELECT name, count(*) AS fields, CAST(sum(v) AS BIGINT) AS total, count(*) FILTER (WHERE name = 'head') AS passed FROM (SELECT unnest(['head', 'order', 'low', 'lines[0].number', 'lines[1].number', 'lines[0].more', 'lines[1].more']) AS name, "
+    "unnest([-1, -l_orderkey, CASE WHEN z > 7 THEN z - 16 ELSE z END, l_linenumber, 7, CASE WHEN l_linenumber > 3 THEN l_linenumber + 1 END, 8]) AS v FROM (SELECT *, ((-l_orderkey % 16) + 16) % 16 AS z FROM lineitem)) WHERE v IS NOT NULL GROUP BY 1"
+)
+def struct_signed(spark, d):
+    """Negative numbers, four bits with a sign, an assertion, and elements with a scope of their own."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    order = F.substring(F.unhex(F.lpad(F.hex((-F.col("l_orderkey")).cast("bigint")), 16, "0")), 5, 4)
+    data = F.concat(octets.literal(b"\xff" * 8), order, blobs.packed(("l_linenumber", 1)), octets.literal(b"\x07"))
+    parsed = template.parse(items.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("blob_id"), data.alias("data")), template.load(_SIGNED))
+    return parsed.groupBy("name").agg(F.count("*").alias("fields"), F.sum("number").cast("bigint").alias("total"), F.count_if("passed").alias("passed"))
+
+
+@query("SELECT o_orderpriority, count(*) AS orders, CASE WHEN strlen(o_orderpriority) < 6 THEN 'word ends beyond the data' END AS error, CASE WHEN strlen(o_orderpriority) >= 6 THEN '\"' || o_orderpriority[1:6] || '\"' END AS word FROM orders GROUP BY 1")
+def struct_bounds(spark, d):
+    """The first six characters of each priority as a string; shorter ones give an error row."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority", F.col("o_orderkey").alias("blob_id"), F.encode("o_orderpriority", "UTF-8").alias("data"))
+    parsed = template.parse(orders, template.load("{name: t, fields: [{name: word, type: string, size: '6'}]}"))
+    return orders.join(parsed, "blob_id").groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.max("error").alias("error"), F.max("value").alias("word"))
+
+
 @query(f"SELECT doc_id, md5(unhex({_HEX}[1:2] || 'aabb' || {_HEX}[7:8])) AS digest FROM documents WHERE strlen(text) >= 4")
 def chain_edits(spark, d):
     made = edit.chain(_docs(spark, d), lambda x: edit.read(x, "0..4").drop("error"), lambda x: edit.replace(x, "1..3", b"\xaa\xbb").drop("error"))
@@ -377,17 +497,65 @@ def _streamed(spark, df: DataFrame, mode: str) -> DataFrame:
     return spark.table(name)
 
 
-def _props(spark, d):
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+def _read(spark, d, table: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/{table}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/{table}*.parquet")
+
+
+def _chunks(spark, d, size: int = 1000) -> DataFrame:
+    """Each document as a stream of chunks, the last of them marked."""
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("stream_id"), F.encode("text", "UTF-8").alias("data"))
+    n = octets.size(F.col("data"))
+    cut_up = docs.select("stream_id", "data", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / size))).alias("seq"))
+    return cut_up.select("stream_id", "seq", octets.cut(F.col("data"), F.col("seq") * size, size).alias("data"), ((F.col("seq") + 1) * size >= n).alias("last"))
+
+
+def _as_stream(sql: str) -> str:
+    return f"SELECT * RENAME (doc_id AS stream_id) FROM ({sql})"
 
 
 @query(f"SELECT {_ORDINAL.format('h')} AS byte, count(*) AS count FROM (SELECT unnest({_BYTES.format('props')}) AS h FROM events) GROUP BY 1")
 def stream_histogram(spark, d):
-    return _streamed(spark, streams.histogram(_props(spark, d).select(F.encode("props", "UTF-8").alias("data"))), "complete")
+    return _streamed(spark, streams.histogram(_read(spark, d, "events").select(F.encode("props", "UTF-8").alias("data"))), "complete")
 
 
-@query("SELECT event_id AS stream_id, CAST(strpos(props, '\"k\"') - 1 AS BIGINT) AS \"offset\" FROM events WHERE props LIKE '%\"k\"%'")
+@query(_as_stream(ORACLE_SQL["search_exact_all"]))
 def stream_search(spark, d):
-    chunks = _props(spark, d).select(F.col("event_id").alias("stream_id"), F.lit(0).cast("bigint").alias("seq"), F.encode("props", "UTF-8").alias("data"))
-    return _streamed(spark, streams.search(chunks, pattern('"k"', "ascii")), "append")
+    return _streamed(spark, streams.search(_chunks(spark, d), pattern("the", "ascii")), "append")
+
+
+@query(_as_stream(ORACLE_SQL["entropy_blocks"]))
+def stream_blocks(spark, d):
+    made = _streamed(spark, streams.blocks(_chunks(spark, d), 256), "append")
+    return made.select("stream_id", "offset", "size", (F.round("entropy", 6) + 0.0).alias("entropy"))
+
+
+@query(_as_stream(ORACLE_SQL["hash_blocks"]))
+def stream_block_digests(spark, d):
+    return _streamed(spark, streams.block_digests(_chunks(spark, d), "md5", 1024), "append")
+
+
+@query(f"SELECT doc_id AS stream_id, max(strlen(text)) AS size, any_value(digest) AS crc32 FROM documents JOIN ({ORACLE_SQL['hash_crc32']}) USING (doc_id) GROUP BY 1")
+def stream_crc32(spark, d):
+    """The last state of each stream."""
+    made = _streamed(spark, streams.crc32(_chunks(spark, d)), "update")
+    return made.groupBy("stream_id").agg(F.max("size").alias("size"), F.max_by("crc32", "size").alias("crc32"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN s IS NULL THEN 'no region at the address' WHEN p_partkey * 7 + 5000 > e THEN 'past the end of the region' END AS problem FROM part LEFT JOIN {_REGIONS} ON p_partkey * 7 >= s AND p_partkey * 7 < e")
+def regions_bounds(spark, d):
+    at = F.col("p_partkey") * 7
+    asked = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("request_id"), at.cast("decimal(20,0)").alias("start"), (at + 5000).cast("decimal(20,0)").alias("end"))
+    return regions.check_bounds(asked, _regions(spark)).select(F.col("request_id").alias("p_partkey"), "problem")
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, 'q*')) AS matches FROM documents")
+def search_regex_empty(spark, d):
+    """A pattern that also matches nothing: at each character but where a match has just ended."""
+    found = search.search(_docs(spark, d), pattern("q*", "regex"), key="doc_id")
+    return found.groupBy("doc_id").agg(F.count("*").alias("matches"))
+
+
+@query("SELECT doc_id, '{\"offset\":0,\"size\":' || strlen(text) || ',\"entropy\":' || printf('%.6f', e) || '}' AS text FROM documents JOIN (SELECT doc_id, entropy AS e FROM (" + ORACLE_SQL["entropy_whole"] + ")) USING (doc_id)")
+def entropy_json(spark, d):
+    return analyze.document(analyze.blocks(_docs(spark, d), 0, "doc_id"), "entropy", "json", "doc_id")

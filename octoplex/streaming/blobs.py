@@ -1,4 +1,9 @@
-"""Stateful operators over streams of chunks (stream_id, seq, data). Chunk sizes never change a result."""
+"""Stateful operators over streams of chunks (stream_id, seq, data). Chunk sizes never change a result.
+
+seq counts from 0 in each stream; a chunk that comes again is ignored, and one that comes early waits in the state, up
+to MAX_HELD bytes for a stream. Where chunks have a column `last` (BOOLEAN), it ends the stream: what is left over is
+given out and the state is dropped.
+"""
 
 from __future__ import annotations
 
@@ -8,97 +13,123 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import kernels
 from ..functions.literals import Exact, Mask
 from ..operators.analyze import _measures, byte_counts
 
+#: Bytes of early chunks that the state of a stream keeps at most.
+MAX_HELD = 64 << 20
+
 
 def histogram(chunks: DataFrame) -> DataFrame:
     """(byte, count), for the output modes complete and update."""
     return byte_counts(chunks)
 
 
-def _ordered(frames: Iterator[pd.DataFrame], expected: int, held: dict) -> tuple[bytes, int]:
-    """The bytes that follow on, in the order of seq; later chunks wait in `held`."""
+def _ordered(frames: Iterator[pd.DataFrame], expected: int, held: dict, end: int) -> tuple[bytes, int, int]:
+    """The bytes that follow on, in the order of seq; later chunks wait in `held`. end is the last seq, or -1."""
     for frame in frames:
-        for seq, data in zip(frame["seq"], frame["data"], strict=True):
-            if seq >= expected:  # a chunk that comes again is ignored
-                held[int(seq)] = bytes(data)
+        for seq, data, last in zip(frame["seq"], frame["data"], frame["last"], strict=True):
+            if seq >= expected:
+                held[int(seq)] = b"" if data is None else bytes(data)
+            if last:
+                end = int(seq)
     out = []
     while expected in held:
         out.append(held.pop(expected))
         expected += 1
-    return b"".join(out), expected
+    if sum(map(len, held.values())) > MAX_HELD:
+        raise ValueError(f"over {MAX_HELD} bytes wait for chunk {expected} of a stream")
+    return b"".join(out), expected, end
+
+
+_KEEP = "expected bigint, held map<bigint,binary>, end bigint, tail binary, base bigint, free bigint"
 
 
-def _hits(data: bytes, pattern: Exact | Mask) -> np.ndarray:
-    want = pattern.data
-    n = len(data) - len(want) + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    values, good = np.frombuffer(data, np.uint8), np.ones(n, bool)
-    for k, x in enumerate(want):
-        if x is not None:
-            good &= values[k : k + n] == x
-    return np.flatnonzero(good)
+def _stateful(chunks: DataFrame, work, schema: str, mode: str) -> DataFrame:
+    """work(stream, new, ended, tail, base, free) gives the rows and what the state keeps: tail, base and free."""
+    chunks = chunks if "last" in chunks.columns else chunks.withColumn("last", F.lit(False))
 
+    def step(key, frames, state: GroupState):
+        expected, held, end, tail, base, free = state.get if state.exists else (0, {}, -1, b"", 0, 0)
+        waiting = {int(k): bytes(v) for k, v in held.items()}
+        new, expected, end = _ordered(frames, expected, waiting, end)
+        ended = 0 <= end < expected
+        rows, tail, base, free = work(key[0], new, ended, bytes(tail), base, free)
+        if ended:
+            state.remove()
+        else:
+            state.update((expected, waiting, end, tail, base, free))
+        yield rows
 
-_KEEP = "expected bigint, held map<bigint,binary>, tail binary, base bigint, free bigint"
+    return chunks.select("stream_id", "seq", "data", "last").groupBy("stream_id").applyInPandasWithState(step, schema, _KEEP, mode, GroupStateTimeout.NoTimeout)
 
 
 def search(chunks: DataFrame, pattern: Exact | Mask, no_overlap: bool = False) -> DataFrame:
-    """(stream_id, offset) of matches, also across chunks. seq counts from 0 in each stream.
+    """(stream_id, offset) of matches, also across chunks.
 
     The state holds the last bytes, one fewer than the pattern, chunks that came too early, and where the last match
     ended, so that no_overlap is greedy over the whole stream.
     """
     width = len(pattern.data)
 
-    def step(key, frames, state: GroupState):
-        expected, held, tail, base, free = state.get if state.exists else (0, {}, b"", 0, 0)
-        held = {int(k): bytes(v) for k, v in held.items()}
-        new, expected = _ordered(frames, expected, held)
-        data = bytes(tail) + new
-        found = []
-        for at in (_hits(data, pattern) + base).tolist():
-            if not no_overlap or at >= free:
-                found.append(at)
-                free = at + width
+    def work(stream, new, ended, tail, base, free):
+        data = tail + new
+        found = kernels.places(np.frombuffer(data, np.uint8), pattern.data) + base
+        if no_overlap:
+            found = kernels.greedy(found, width, free)
+            free = int(found[-1]) + width if len(found) else free
         keep = min(len(data), width - 1)
-        state.update((expected, held, data[len(data) - keep :], base + len(data) - keep, free))
-        yield pd.DataFrame({"stream_id": [key[0]] * len(found), "offset": np.array(found, np.int64)})
+        return pd.DataFrame({"stream_id": [stream] * len(found), "offset": found.astype(np.int64)}), data[len(data) - keep :], base + len(data) - keep, free
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id bigint, offset bigint", _KEEP, "append", GroupStateTimeout.NoTimeout)
+    return _stateful(chunks, work, "stream_id bigint, offset bigint", "append")
 
 
 def blocks(chunks: DataFrame, block_size: int) -> DataFrame:
-    """(stream_id, offset, size, entropy, ic) of each full block; the rest of a stream waits for its next chunks."""
+    """(stream_id, offset, size, entropy, ic) of each full block, and of the short last one when the stream ends."""
 
-    def step(key, frames, state: GroupState):
-        expected, held, tail, base, free = state.get if state.exists else (0, {}, b"", 0, 0)
-        held = {int(k): bytes(v) for k, v in held.items()}
-        new, expected = _ordered(frames, expected, held)
-        data = bytes(tail) + new
+    def work(stream, new, ended, tail, base, free):
+        data = tail + new
         full = len(data) // block_size
-        state.update((expected, held, data[full * block_size :], base + full * block_size, free))
-        values = np.frombuffer(data[: full * block_size], np.uint8).reshape(full, block_size)
-        counts = np.array([np.bincount(v, minlength=256) for v in values]).reshape(full, 256)
-        entropy, ic = _measures(counts) if full else (np.zeros(0), np.zeros(0))
-        yield pd.DataFrame({"stream_id": [key[0]] * full, "offset": base + block_size * np.arange(full, dtype=np.int64), "size": np.full(full, block_size, np.int64), "entropy": entropy, "ic": ic})
+        counts = [np.bincount(np.frombuffer(data, np.uint8, block_size, block_size * k), minlength=256) for k in range(full)]
+        if ended and len(data) > full * block_size:
+            counts.append(np.bincount(np.frombuffer(data, np.uint8, offset=full * block_size), minlength=256))
+        grid = np.array(counts).reshape(-1, 256)
+        entropy, ic = _measures(grid)
+        at = base + block_size * np.arange(len(grid), dtype=np.int64)
+        rows = pd.DataFrame({"stream_id": [stream] * len(grid), "offset": at, "size": grid.sum(1).astype(np.int64), "entropy": entropy, "ic": ic})
+        return rows, data[full * block_size :], base + full * block_size, free
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id bigint, offset bigint, size bigint, entropy double, ic double", _KEEP, "append", GroupStateTimeout.NoTimeout)
+    return _stateful(chunks, work, "stream_id bigint, offset bigint, size bigint, entropy double, ic double", "append")
 
 
 def crc32(chunks: DataFrame) -> DataFrame:
     """(stream_id, size, crc32) so far, after each micro-batch; the state is a number, however long the stream."""
 
-    def step(key, frames, state: GroupState):
-        expected, held, _, size, value = state.get if state.exists else (0, {}, b"", 0, 0)
-        held = {int(k): bytes(v) for k, v in held.items()}
-        new, expected = _ordered(frames, expected, held)
+    def work(stream, new, ended, tail, size, value):
         value, size = zlib.crc32(new, value), size + len(new)
-        state.update((expected, held, b"", size, value))
-        yield pd.DataFrame({"stream_id": [key[0]], "size": [size], "crc32": [f"{value:08x}"]})
+        return pd.DataFrame({"stream_id": [stream], "size": [size], "crc32": [f"{value:08x}"]}), b"", size, value
+
+    return _stateful(chunks, work, "stream_id bigint, size bigint, crc32 string", "update")
+
+
+def block_digests(chunks: DataFrame, algorithm: str, block_size: int) -> DataFrame:
+    """(stream_id, offset, digest) of each block, in hex; of the short last one when the stream ends.
+
+    The state keeps less than a block. A digest of a whole stream, other than CRC32, needs it as one blob or by blocks.
+    """
+    from ..operators.digest import of_bytes
+
+    made = of_bytes(algorithm)
+
+    def work(stream, new, ended, tail, base, free):
+        data = tail + new
+        stop = len(data) if ended else len(data) // block_size * block_size
+        at = list(range(0, stop, block_size))
+        rows = pd.DataFrame({"stream_id": [stream] * len(at), "offset": [base + k for k in at], "digest": made([data[k : k + block_size] for k in at])})
+        return rows, data[stop:], base + stop, free
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id bigint, size bigint, crc32 string", _KEEP, "update", GroupStateTimeout.NoTimeout)
+    return _stateful(chunks, work, "stream_id bigint, offset bigint, digest string", "append")
