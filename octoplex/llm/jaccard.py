@@ -2,13 +2,13 @@
 
 All documents' shingle hashes are put in one order. Of a set of n shingles, the first n - ceil(t n) + 1 are its prefix:
 two sets of similarity t or more share a shingle of both prefixes. So only documents that share one are compared. Of
-these pairs, SimHash fingerprints of 512 bits discard those that differ in more bits than similar sets ever do (see
+these pairs, SimHash fingerprints of 1024 bits discard those that differ in more bits than similar sets ever do (see
 `most_bits`), and the whole sets decide about the rest. The order puts shingles that a sample of the documents holds
 several times last, which keeps the groups small; it has no influence on the result.
 
-Members of a group of up to GROUP that share a shingle are compared with each other, those of a larger one first with
-one of them. What that links needs no further comparison, so a large group of copies costs as many comparisons as it
-has members; the others of it are compared afterwards, where they are not linked by then.
+In a group that shares a shingle all members are first compared with one of them. What that links needs no further
+comparison, so a large group of copies costs as many comparisons as it has members. Members that are not linked by then
+are compared afterwards, each pair once: in the group of the first shingle that both prefixes have.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ WIDTH = 5
 THRESHOLD = 0.8
 #: Documents sampled, and shingles listed, for the order of the shingles.
 SAMPLE_DOCS, LISTED = 5_000, 200_000
-#: Members of a group that are all compared at once.
-GROUP = 8
 #: Ids (of 8 bytes) that are broadcast to a scan of the texts at most; more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 _ROUND = 1e-9
@@ -56,7 +54,7 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
 
 
 #: Bits of the fingerprints, in words of 64; and the size from which sets are so large that they are told apart by them.
-WORDS, LEAST = 8, 32
+WORDS, LEAST = 16, 32
 _FACTORS = np.random.default_rng(8).integers(0, 2**63, WORDS - 1).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -75,12 +73,12 @@ def fingerprint(found: np.ndarray, piece: int = 1 << 14) -> list[int]:
 
 
 def most_bits(threshold: float) -> int:
-    """Differing bits of two sets of that similarity that 7 standard deviations do not exceed, for 1 pair in 10**11.
+    """Differing bits that two sets of that similarity exceed by chance alone, for 1 pair in 10**9 (6 standard deviations).
 
     A bit of two sets of one size differs with the angle between their vectors, arccos(2 t / (1 + t)), over pi.
     """
     bits, p = 64 * WORDS, math.acos(2 * threshold / (1 + threshold)) / math.pi
-    return math.ceil(bits * p + 7 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
 
 
 def _digest(found: np.ndarray) -> int:
@@ -181,34 +179,33 @@ def near_pairs(prints: DataFrame, groups: DataFrame, docs: DataFrame, width: int
     """Links (u, v) between the digests of similar sets; every similar pair is joined directly or through others."""
     items = prints.join(groups.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("items").alias("items"))
     each = items.select("digest", "n", F.posexplode("items").alias("place", "item"))
-    # Most items stand in one set only and end here, after the one shuffle that all of them take part in. The others
-    # bring along whom they are compared with: those before them in a small group, the first of a large one.
-    order = Window.partitionBy("item").orderBy("digest")
-    me = F.struct("digest", "n", "place")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    grouped = each.withColumn("m", F.count("*").over(whole)).withColumn("hub", F.first(me).over(whole)).withColumn("before", F.collect_list(me).over(order.rowsBetween(1 - GROUP, -1)))
-    met = F.when(F.col("m") <= GROUP, F.col("before")).otherwise(F.array("hub"))
+    # Most items stand in one set only and end here, after the one shuffle that all of them take part in.
+    order = Window.partitionBy("item").orderBy("digest").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    grouped = each.withColumn("m", F.count("*").over(order)).withColumn("hub", F.first(F.struct("digest", "n", "place")).over(order))
     mine = {"n": F.col("n"), "place": F.col("place")}
-    met = F.transform(F.filter(met, lambda x: (x["digest"] != F.col("digest")) & _may_reach(x, mine, threshold)), lambda x: x["digest"])
-    shared = cut(grouped.where("m > 1").select("item", "digest", "n", "place", "m", met.alias("met")))
-    pairs = shared.select(F.explode("met").alias("x"), "digest").select(F.least("x", "digest").alias("u"), F.greatest("x", "digest").alias("v"))
-    pairs = cut(pairs.distinct())
-    known = cut(prints.select("digest", "n", "fp").dropDuplicates(["digest"]).join(shared.select("digest").distinct(), "digest", "left_semi"))
+    hub = F.when((F.col("hub.digest") != F.col("digest")) & _may_reach(F.col("hub"), mine, threshold), F.col("hub.digest"))
+    shared = cut(grouped.where("m > 1").select("item", "digest", "n", "place", "m", hub.alias("hub")))
+    pairs = cut(shared.where("hub is not null").select(F.col("hub").alias("u"), F.col("digest").alias("v")).distinct())  # the hub's digest is smaller
+    known = cut(prints.join(shared.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("fp").alias("fp")))
     marks = {k: known.select(F.col("digest").alias(k), F.col("n").alias(f"{k}_n"), F.col("fp").alias(f"{k}_fp")) for k in "uv"}
     likely = cut(pairs.join(marks["u"], "u").join(marks["v"], "v").where(_alike("u", "v", threshold)).select("u", "v"))
     links = _verified(likely, docs, groups, width, threshold)
-    # The members of large groups that are not linked by now.
-    large = shared.where(F.col("m") > GROUP).select("item", "digest", "n", "place")
+    # The members of groups of three and more that are not linked by now.
+    large = shared.where("m > 2").select("item", "digest", "n", "place")
     roots = cut(components(links))
     rooted = cut(large.join(roots, large.digest == roots.node, "left").select(large["*"], F.coalesce("root", "digest").alias("root")))
     several = rooted.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    rooted = cut(rooted.join(several.select("item"), "item").join(known.select("digest", "fp"), "digest"))
-    discard(shared, known)
-    u, v = (rooted.select("item", *[F.col(c).alias(f"{k}_{c}") for c in ("digest", "n", "place", "root", "fp")]) for k in "uv")
+    rooted = cut(rooted.join(several.select("item"), "item"))
+    wanted = cut(rooted.select("digest").distinct())
+    prefix = items.join(wanted, "digest", "left_semi").select("digest", F.col("items").alias("prefix"))
+    rooted = rooted.join(cut(known.join(prefix, "digest").select("digest", "fp", "prefix")), "digest")
+    discard(shared, pairs)
+    u, v = (rooted.select("item", *[F.col(c).alias(f"{k}_{c}") for c in ("digest", "n", "place", "root", "fp", "prefix")]) for k in "uv")
     first, second = ({c: F.col(f"{k}_{c}") for c in ("n", "place")} for k in "uv")
     open_pair = (F.col("u_digest") < F.col("v_digest")) & (F.col("u_root") != F.col("v_root")) & _may_reach(first, second, threshold)
-    rest = u.join(v, "item").where(open_pair & _alike("u", "v", threshold)).select(F.col("u_digest").alias("u"), F.col("v_digest").alias("v")).distinct()
-    rest = cut(rest.join(likely, ["u", "v"], "left_anti"))
+    meet_here = F.get(F.array_intersect("u_prefix", "v_prefix"), F.lit(0)) == F.col("item")
+    met = u.join(v, "item").where(open_pair & _alike("u", "v", threshold) & meet_here)
+    rest = cut(met.select(F.col("u_digest").alias("u"), F.col("v_digest").alias("v")).join(likely, ["u", "v"], "left_anti"))
     return links.union(_verified(rest, docs, groups, width, threshold))
 
 
