@@ -126,12 +126,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     first = cells.agg(F.min("key")).first()[0]  # one number
     link = link.select(F.col("key").alias("cell"), F.coalesce("next", F.lit(first).cast("bigint")).alias("next_cell"))
     order = Window.partitionBy("cell").orderBy("doc_id", "text")
-    placed = named.withColumn("next_text", F.lead("text").over(order)).withColumn("r", F.row_number().over(order))
-    heads = placed.where("r = 1").select(F.col("cell").alias("next_cell"), F.col("text").alias("head"))
-    lasts = placed.where("next_text is null").select("doc_id", "text", "cell").join(link, "cell")
-    closed = lasts.join(heads, "next_cell").select("doc_id", "text", F.col("head").alias("next_text"))
-    inner = placed.where("next_text is not null").select("doc_id", "text", "next_text")
-    return inner.unionByName(closed).unionByName(rows.where("doc_id is null").withColumn("next_text", F.lit("")))
+    heads = named.withColumn("r", F.row_number().over(order)).where("r = 1").select(F.col("cell").alias("next_cell"), F.col("text").alias("head"))
+    # The text that follows each cell meets its rows where they are in order, so texts are dealt out once.
+    after = link.join(heads, "next_cell").select("cell", "head")
+    placed = named.withColumn("next_text", F.lead("text").over(order)).join(after, "cell")
+    placed = placed.select("doc_id", "text", F.coalesce("next_text", "head").alias("next_text"))
+    return placed.unionByName(rows.where("doc_id is null").withColumn("next_text", F.lit("")))
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
