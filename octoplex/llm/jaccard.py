@@ -8,7 +8,7 @@ several times last, which keeps the groups small; it has no influence on the res
 
 In a group that shares a shingle all members are first compared with one of them. What that links needs no further
 comparison, so a large group of copies costs as many comparisons as it has members. Members that are not linked by then
-are compared afterwards, each pair once: in the group of the first shingle that both prefixes have.
+are compared afterwards.
 """
 
 from __future__ import annotations
@@ -196,16 +196,13 @@ def near_pairs(prints: DataFrame, groups: DataFrame, docs: DataFrame, width: int
     rooted = cut(large.join(roots, large.digest == roots.node, "left").select(large["*"], F.coalesce("root", "digest").alias("root")))
     several = rooted.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     rooted = cut(rooted.join(several.select("item"), "item"))
-    wanted = cut(rooted.select("digest").distinct())
-    prefix = items.join(wanted, "digest", "left_semi").select("digest", F.col("items").alias("prefix"))
-    rooted = rooted.join(cut(known.join(prefix, "digest").select("digest", "fp", "prefix")), "digest")
+    rooted = rooted.join(known.select("digest", "fp"), "digest")
     discard(shared, pairs)
-    u, v = (rooted.select("item", *[F.col(c).alias(f"{k}_{c}") for c in ("digest", "n", "place", "root", "fp", "prefix")]) for k in "uv")
+    u, v = (rooted.select("item", *[F.col(c).alias(f"{k}_{c}") for c in ("digest", "n", "place", "root", "fp")]) for k in "uv")
     first, second = ({c: F.col(f"{k}_{c}") for c in ("n", "place")} for k in "uv")
     open_pair = (F.col("u_digest") < F.col("v_digest")) & (F.col("u_root") != F.col("v_root")) & _may_reach(first, second, threshold)
-    meet_here = F.get(F.array_intersect("u_prefix", "v_prefix"), F.lit(0)) == F.col("item")
-    met = u.join(v, "item").where(open_pair & _alike("u", "v", threshold) & meet_here)
-    rest = cut(met.select(F.col("u_digest").alias("u"), F.col("v_digest").alias("v")).join(likely, ["u", "v"], "left_anti"))
+    met = u.join(v, "item").where(open_pair & _alike("u", "v", threshold))
+    rest = cut(met.select(F.col("u_digest").alias("u"), F.col("v_digest").alias("v")).distinct().join(likely, ["u", "v"], "left_anti"))
     return links.union(_verified(rest, docs, groups, width, threshold))
 
 
