@@ -6,9 +6,11 @@ these pairs, SimHash fingerprints of 1024 bits discard those that differ in more
 `most_bits`), and the whole sets decide about the rest. The order puts shingles that a sample of the documents holds
 several times last, which keeps the groups small; it has no influence on the result.
 
-In a group that shares a shingle all members are first compared with one of them. What that links needs no further
-comparison, so a large group of copies costs as many comparisons as it has members. Members that are not linked by then
-are compared afterwards.
+In a group that shares a shingle one member is the pivot: the one that meets most others. All are compared with it, and
+what that links needs no further comparison, so a large group of copies costs as many comparisons as it has members.
+For the members that are not linked by then a table holds the distances of fingerprints to the pivot; pairs whose
+distances differ by more than similar sets do are discarded. In large groups the table also holds what each set has in
+common with the pivot, and pairs meet, exactly as well, by what they have besides.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ WIDTH = 5
 THRESHOLD = 0.8
 #: Documents sampled, and shingles listed, for the order of the shingles.
 SAMPLE_DOCS, LISTED = 5_000, 200_000
+#: Members of a group that are compared with each other; those of a larger one meet by what the pivot lacks.
+CROWD = 64
 #: Ids (of 8 bytes) that are broadcast to a scan of the texts at most; more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 _ROUND = 1e-9
@@ -123,25 +127,34 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(listed.to_numpy(np.int64))
 
 
-def prefixes(docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(doc_id, digest, n, items, fp): items are the prefix of each row's set, in order, fp its fingerprint."""
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
+def _in_order(found: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    late = np.zeros(len(found), bool)
+    if len(listed):
+        late = listed[np.minimum(np.searchsorted(listed, found), len(listed) - 1)] == found
+    return np.concatenate((found[~late], found[late]))
+
+
+def prefixes(docs: DataFrame, width: int, threshold: float, frequent) -> DataFrame:
+    """(doc_id, digest, n, items, fp): items are the prefix of each row's set, in order, fp its fingerprint.
+
+    frequent: broadcast, the shingles that come last.
+    """
 
     def choose(found):
         size = len(found) - math.ceil(threshold * len(found) - _ROUND) + 1 if len(found) else 0
-        listed = frequent.value
-        late = np.zeros(len(found), bool)
-        if len(listed):
-            late = listed[np.minimum(np.searchsorted(listed, found), len(listed) - 1)] == found
-        return np.concatenate((found[~late], found[late]))[:size]
+        return _in_order(found, frequent.value)[:size]
 
     return _mapped(docs, width, choose, _SCHEMA + ", fp array<bigint>", printed=True)
 
 
+def _apart(a: str, b: str) -> Column:
+    """In how many bits the fingerprints in the columns a_fp and b_fp differ."""
+    return sum((F.bit_count(F.get(f"{a}_fp", F.lit(k)).bitwiseXOR(F.get(f"{b}_fp", F.lit(k)))) for k in range(WORDS)), F.lit(0))
+
+
 def _alike(a: str, b: str, threshold: float) -> Column:
     """Whether fingerprints (columns a_fp, a_n) leave it open that the sets are similar."""
-    bits = sum((F.bit_count(F.get(f"{a}_fp", F.lit(k)).bitwiseXOR(F.get(f"{b}_fp", F.lit(k)))) for k in range(WORDS)), F.lit(0))
-    return (F.least(f"{a}_n", f"{b}_n") < LEAST) | (bits <= most_bits(threshold))
+    return (F.least(f"{a}_n", f"{b}_n") < LEAST) | (_apart(a, b) <= most_bits(threshold))
 
 
 def _may_reach(a, b, threshold: float) -> Column:
@@ -151,15 +164,19 @@ def _may_reach(a, b, threshold: float) -> Column:
     return (F.least(x, y) >= threshold * F.greatest(x, y) - _ROUND) & (rest >= threshold / (1 + threshold) * (x + y) - _ROUND)
 
 
-def _sets(asked: DataFrame, groups: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _sets(asked: DataFrame, groups: DataFrame, docs: DataFrame, width: int, frequent=None) -> DataFrame:
     """(digest, items) of the digests asked for: their sets, by the lower 32 bits of the shingles' hashes.
 
     A count of common shingles can be one too large by that, for one pair of 400 shingles in some 25,000.
+    frequent: the whole hashes in order, these last.
     """
     ids = cut(groups.join(asked, "digest").select(F.col("id").alias("doc_id")).distinct())
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    made = _mapped(texts, width, lambda x: x.astype(np.int32), "doc_id bigint, digest bigint, n bigint, items array<int>", pa.int32())
+    if frequent is None:
+        made = _mapped(texts, width, lambda x: x.astype(np.int32), "doc_id bigint, digest bigint, n bigint, items array<int>", pa.int32())
+    else:
+        made = _mapped(texts, width, lambda x: _in_order(x, frequent.value), _SCHEMA)
     return made.select("digest", "items")
 
 
@@ -175,35 +192,110 @@ def _verified(pairs: DataFrame, docs: DataFrame, groups: DataFrame, width: int,
     return out
 
 
-def near_pairs(prints: DataFrame, groups: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+def _distances(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with bits, the distance of the fingerprint to the pivot's."""
+    ends = {k: known.select(F.col("digest").alias(k), F.col("fp").alias(f"{k}_fp")) for k in ("digest", "pivot")}
+    cells = rows.select("digest", "pivot").distinct().join(ends["digest"], "digest").join(ends["pivot"], "pivot")
+    return rows.join(cut(cells.select("digest", "pivot", _apart("digest", "pivot").alias("bits"))), ["digest", "pivot"])
+
+
+def _open(threshold: float) -> Column:
+    """Whether a pair is not linked by now, and the distances to the pivot leave it open.
+
+    Fingerprints that differ in few bits have distances to the pivot that differ by no more.
+    """
+    near = (F.least("u_n", "v_n") < LEAST) | (F.abs(F.col("u_bits") - F.col("v_bits")) <= most_bits(threshold))
+    return (F.col("u_root") != F.col("v_root")) & near
+
+
+def _paired(u: DataFrame, v: DataFrame, keys: list[str], names: tuple, condition) -> DataFrame:
+    """Pairs (u, v) of digests of rows that share the keys and fulfil the condition on columns u_name and v_name."""
+    a, b = (x.select(*keys, *[F.col(c).alias(f"{k}_{c}") for c in ("digest", *names)]) for k, x in (("u", u), ("v", v)))
+    ends = [f("u_digest", "v_digest").alias(k) for k, f in (("u", F.least), ("v", F.greatest))]
+    return a.join(b, keys).where(condition).select(*ends)
+
+
+def _reach(threshold: float) -> Column:
+    first, second = ({c: F.col(f"{k}_{c}") for c in ("n", "place")} for k in "uv")
+    return _may_reach(first, second, threshold)
+
+
+def _met(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) of rows (item, digest, n, place, root, pivot, bits) that share an item and stay open."""
+    condition = (F.col("u_digest") < F.col("v_digest")) & _open(threshold) & _reach(threshold)
+    return _paired(rows, rows, ["item"], ("n", "place", "root", "bits"), condition)
+
+
+def _table(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """For each pivot and digest of rows, root, n, bits, and: shared (items with the pivot), alike (to the pivot), size
+    (of the set without the pivot's) and items (of the rest, by which it is met).
+
+    A similar set has t n items of this one at least, `need` of them of the rest, so that the first size - need + 1 of
+    the rest do. Of a set that is like its pivot all do, as it is only looked up.
+    """
+    cells = rows.select("pivot", "digest", "root", "n", "bits").distinct()
+    both = cells.join(sets, "digest").join(sets.select(F.col("digest").alias("pivot"), F.col("items").alias("p")), "pivot")
+    both = both.withColumns({"shared": F.size(F.array_intersect("items", "p")), "rest": F.array_except("items", "p")})
+    similar = F.col("shared") >= threshold * (F.col("n") + F.size("p") - F.col("shared")) - _ROUND
+    need = F.ceil(threshold * F.col("n") - _ROUND).cast("int") - F.col("shared")
+    both = both.withColumns({"alike": similar, "size": F.size("rest")})
+    first = F.when(F.col("alike") | (need < 1), F.col("rest")).otherwise(F.slice("rest", 1, F.greatest(F.lit(0), F.col("size") - need + 1)))
+    return both.select("pivot", "digest", "root", "n", "bits", "shared", "alike", "size", first.alias("items"))
+
+
+def _met_outside(rows: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """As _met, by way of what the sets have besides the pivot's.
+
+    Of a similar pair that is not linked one set is unlike the pivot. It has less in common with the pivot than with the
+    other set, unless that is smaller than the pivot: they share an item that the pivot lacks, by which they meet.
+    Those that need not share one, by their sizes, meet by the item of their group.
+    """
+    part = threshold / (1 + threshold)
+    names = ("root", "n", "bits", "shared", "alike")
+    once = ~F.col("u_alike") & (F.col("v_alike") | (F.col("u_digest") < F.col("v_digest")))
+    need = part * (F.col("u_n") + F.col("v_n")) - F.least("u_shared", "v_shared") - _ROUND
+    rest = F.least(F.col("u_size") - F.col("u_place"), F.col("v_size") - F.col("v_place"))
+    sizes = F.least("u_n", "v_n") >= threshold * F.greatest("u_n", "v_n") - _ROUND
+    each = table.select("pivot", "digest", *names, "size", F.posexplode("items").alias("place", "item"))
+    met = _paired(each.where("not alike"), each, ["pivot", "item"], (*names, "size", "place"), _open(threshold) & once & sizes & (need > 0) & (rest >= need))
+    told = rows.select("item", "pivot", "digest", "place").join(table.drop("items", "size"), ["pivot", "digest"])
+    least = table.groupBy("pivot").agg(F.min("n").alias("least"))
+    asks = told.join(least, "pivot").where(~F.col("alike") & (part * (F.col("n") + F.col("least")) - F.col("shared") - _ROUND <= 0))
+    return met.union(_paired(asks, told, ["item"], (*names, "place"), _open(threshold) & once & (need <= 0) & _reach(threshold)))
+
+
+def near_pairs(prints: DataFrame, groups: DataFrame, docs: DataFrame, width: int, threshold: float, frequent) -> DataFrame:
     """Links (u, v) between the digests of similar sets; every similar pair is joined directly or through others."""
     items = prints.join(groups.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("items").alias("items"))
     each = items.select("digest", "n", F.posexplode("items").alias("place", "item"))
     # Most items stand in one set only and end here, after the one shuffle that all of them take part in.
-    order = Window.partitionBy("item").orderBy("digest").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    grouped = each.withColumn("m", F.count("*").over(order)).withColumn("hub", F.first(F.struct("digest", "n", "place")).over(order))
-    mine = {"n": F.col("n"), "place": F.col("place")}
-    hub = F.when((F.col("hub.digest") != F.col("digest")) & _may_reach(F.col("hub"), mine, threshold), F.col("hub.digest"))
-    shared = cut(grouped.where("m > 1").select("item", "digest", "n", "place", "m", hub.alias("hub")))
-    pairs = cut(shared.where("hub is not null").select(F.col("hub").alias("u"), F.col("digest").alias("v")).distinct())  # the hub's digest is smaller
-    known = cut(prints.join(shared.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("fp").alias("fp")))
+    shared = cut(each.withColumn("m", F.count("*").over(Window.partitionBy("item"))).where("m > 1"))
+    weights = shared.groupBy("digest").agg(F.sum("m").alias("weight"))
+    known = cut(prints.join(weights, "digest").groupBy("digest").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("weight").alias("weight")))
     marks = {k: known.select(F.col("digest").alias(k), F.col("n").alias(f"{k}_n"), F.col("fp").alias(f"{k}_fp")) for k in "uv"}
-    likely = cut(pairs.join(marks["u"], "u").join(marks["v"], "v").where(_alike("u", "v", threshold)).select("u", "v"))
-    links = _verified(likely, docs, groups, width, threshold)
-    # The members of groups of three and more that are not linked by now.
-    large = shared.where("m > 2").select("item", "digest", "n", "place")
+
+    def verified(pairs):
+        likely = cut(pairs.join(marks["u"], "u").join(marks["v"], "v").where(_alike("u", "v", threshold)).select("u", "v"))
+        return _verified(likely, docs, groups, width, threshold)
+
+    rows = shared.join(known.select("digest", "weight"), "digest")
+    pivots = rows.groupBy("item").agg(F.max(F.struct("weight", "digest", "n", "place")).alias("pivot"))
+    met = cut(rows.join(pivots, "item").where("digest <> pivot.digest").drop("weight"))
+    asked = met.where(_may_reach(F.col("pivot"), {"n": F.col("n"), "place": F.col("place")}, threshold))
+    ends = F.col("digest"), F.col("pivot.digest")
+    links = verified(cut(asked.select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v")).distinct()))
+    # Groups with two members or more besides the pivot that are not linked by now.
     roots = cut(components(links))
-    rooted = cut(large.join(roots, large.digest == roots.node, "left").select(large["*"], F.coalesce("root", "digest").alias("root")))
-    several = rooted.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    rooted = cut(rooted.join(several.select("item"), "item"))
-    rooted = rooted.join(known.select("digest", "fp"), "digest")
-    discard(shared, pairs)
-    u, v = (rooted.select("item", *[F.col(c).alias(f"{k}_{c}") for c in ("digest", "n", "place", "root", "fp")]) for k in "uv")
-    first, second = ({c: F.col(f"{k}_{c}") for c in ("n", "place")} for k in "uv")
-    open_pair = (F.col("u_digest") < F.col("v_digest")) & (F.col("u_root") != F.col("v_root")) & _may_reach(first, second, threshold)
-    met = u.join(v, "item").where(open_pair & _alike("u", "v", threshold))
-    rest = cut(met.select(F.col("u_digest").alias("u"), F.col("v_digest").alias("v")).distinct().join(likely, ["u", "v"], "left_anti"))
-    return links.union(_verified(rest, docs, groups, width, threshold))
+    left = met.where("m > 2").join(roots.toDF("digest", "root"), "digest", "left")
+    left = left.select("item", "digest", "n", "place", F.coalesce("root", "digest").alias("root"), F.col("pivot.digest").alias("pivot"))
+    several = left.groupBy("item").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    rows = cut(_distances(cut(left.join(several.select("item", "m"), "item")), known))
+    discard(shared, met)
+    large = rows.where(F.col("m") > CROWD)
+    asked = large.select("digest").union(large.select("pivot")).distinct()
+    table = cut(_table(large, _sets(asked, groups, docs, width, frequent).dropDuplicates(["digest"]), threshold))
+    pairs = _met(rows.where(F.col("m") <= CROWD), threshold).union(_met_outside(large, table, threshold)).distinct()
+    return links.union(table.where("alike").select("pivot", "digest")).union(verified(cut(pairs)))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -213,10 +305,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     without words. Rows that share a doc_id count as one document of several texts. A set whose rows all have a null
     id links no others; its component_id is null. Rows with a null id take the component of their set.
     """
-    prints = cut(prefixes(docs, width, threshold))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
+    prints = cut(prefixes(docs, width, threshold, frequent))
     groups = cut(prints.groupBy("digest").agg(F.min("doc_id").alias("id")))
     named = groups.where("id is not null")
-    links = near_pairs(prints, named, docs, width, threshold)
+    links = near_pairs(prints, named, docs, width, threshold, frequent)
     several = prints.groupBy("doc_id").agg(F.min("digest").alias("u"), F.max("digest").alias("v")).where("u <> v and doc_id is not null")
     doubles = prints.select("doc_id", "digest").join(several.select("doc_id", "u"), "doc_id").select("u", F.col("digest").alias("v"))
     roots = cut(components(links.union(doubles)))

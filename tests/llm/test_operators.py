@@ -87,6 +87,44 @@ def test_jaccard_components_match_brute_force(spark, sample, monkeypatch):
     assert [got[k] for k in range(len(texts))] == root
 
 
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_jaccard_of_a_large_family_meets_by_pivots(spark, crowd, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROWD", crowd, raising=False)
+    rng = random.Random(7)
+    base, texts = [f"b{k}" for k in range(150)], []
+    for k in range(120):
+        copy = base.copy()
+        for _ in range(rng.randrange(1, 9)):
+            copy[rng.randrange(len(copy))] = f"x{k}" if rng.random() < 0.7 else f"y{rng.randrange(40)}"
+        texts.append(" ".join(copy[: rng.choice((150, 150, 150, 140, 118, 95))]))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for _ in range(6):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if i != j and len(a & b) / len(a | b) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    asked, verified = [], jaccard._verified
+
+    def counted(pairs, *more):
+        asked.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs(spark, *texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == root and 3 < len(set(root)) < 100
+    assert sum(asked) <= 4 * len(texts)
+
+
+def test_jaccard_pairs_are_discarded_by_their_distances_to_the_pivot(spark):
+    most = jaccard.most_bits(0.8)
+    bits = {2: 10, 3: 10 + most, 4: 11 + most}
+    rows = spark.createDataFrame([(7, k, 100, 0, k, 1, d) for k, d in bits.items()], "item long, digest long, n long, place int, root long, pivot long, bits int")
+    table = spark.createDataFrame([(1, k, k, 100, d, 40, False, 60, [5, 6]) for k, d in bits.items()], "pivot long, digest long, root long, n long, bits int, shared int, alike boolean, size int, items array<long>")
+    for found in (jaccard._met(rows, 0.8), jaccard._met_outside(rows, table, 0.8).distinct()):
+        assert sorted(map(tuple, found.collect())) == [(2, 3), (3, 4)]
+
+
 def test_jaccard_ids(spark):
     df = docs(spark, "a b", "c d", "A B", "c d", "e", "e", "f", ids=[4, 4, 2, 9, None, None, 7])
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard.near_duplicates(df).collect())
