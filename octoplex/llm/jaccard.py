@@ -4,7 +4,9 @@ All documents' shingle hashes are put in one order. Of a set of n shingles, the
 two sets of similarity t or more share a shingle of both prefixes. So only documents that share one are compared. Of
 these pairs, SimHash fingerprints of 1024 bits discard those that differ in more bits than similar sets ever do (see
 `most_bits`), and the whole sets decide about the rest. The order puts shingles that a sample of the documents holds
-several times last, which keeps the groups small; it has no influence on the result.
+several times last, the most frequent ones at the very end; it has no influence on the result. The sample is a fixed share
+of the documents, so that shingles of some 32 documents and more are mostly listed however large the corpus is, and groups
+of unlike documents don't grow with it until more than LISTED are so frequent.
 
 In a group that shares a shingle one member is the pivot: the one that meets most others. All are compared with it, and
 what that links needs no further comparison, so a large group of copies costs as many comparisons as it has members.
@@ -28,8 +30,10 @@ from .graph import components
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: Documents sampled, and shingles listed, for the order of the shingles.
-SAMPLE_DOCS, LISTED = 5_000, 200_000
+#: The share of documents sampled, and documents at least, for the order of the shingles; the shingles listed at most.
+SAMPLE, SAMPLE_DOCS, LISTED = 1 / 8, 5_000, 4_000_000
+#: Bits of a shingle's hash by which it is listed, and those of them that tell its bucket; keys that are counted at once.
+LISTED_BITS, BUCKET_BITS, COUNTED = 42, 10, 1 << 20
 #: Members of a group that are compared with each other; those of a larger one meet by what the pivot lacks.
 CROWD = 64
 #: Ids (of 8 bytes) that are broadcast to a scan of the texts at most; more are joined by shuffling.
@@ -114,30 +118,101 @@ def _mapped(docs: DataFrame, width: int, choose, schema: str, kind=pa.int64(), p
 _SCHEMA = "doc_id bigint, digest bigint, n bigint, items array<bigint>"
 
 
-def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that stand in several documents of a sample, sorted; for the order only."""
-    total = docs.count()
-    part = docs.select("doc_id", "text")
-    if total > SAMPLE_DOCS:
-        rate = max(1, int(10**6 * SAMPLE_DOCS / total))
-        part = part.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < rate)
-    each = _mapped(part, width, lambda x: x, _SCHEMA).select("digest", "items").dropDuplicates(["digest"])
-    counts = each.select(F.explode("items").alias("item")).groupBy("item").count().where("count > 1")
-    listed = counts.orderBy(F.desc("count"), "item").limit(LISTED).select("item").toPandas()["item"]
-    return np.sort(listed.to_numpy(np.int64))
+def _keys(found: np.ndarray) -> np.ndarray:
+    """The first bits of the hashes, by which they are listed."""
+    return (found.view(np.uint64) >> np.uint64(64 - LISTED_BITS)).view(np.int64)
 
 
-def _in_order(found: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    late = np.zeros(len(found), bool)
-    if len(listed):
-        late = listed[np.minimum(np.searchsorted(listed, found), len(listed) - 1)] == found
-    return np.concatenate((found[~late], found[late]))
+def _packed(docs: DataFrame, width: int) -> DataFrame:
+    """(bucket, cells): of each document's shingles the key less the bucket, 4 bytes, and 2 bytes of the set's digest.
+
+    Copies have the same cells, and cells count once.
+    """
+    rest = LISTED_BITS - BUCKET_BITS
+
+    def flushed(cells):
+        cells = np.unique(np.concatenate(cells))
+        ends = np.searchsorted(cells, np.arange((1 << BUCKET_BITS) + 1, dtype=np.int64) << rest + 16)
+        low = cells.view(np.uint8).reshape(-1, 8)[:, : (rest + 16) // 8]  # the bytes of little-endian numbers
+        full = np.flatnonzero(np.diff(ends))
+        packs = [low[ends[k] : ends[k + 1]].tobytes() for k in full]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packs, pa.binary())], names=["bucket", "cells"])
+
+    def rows(batches):
+        cells, held = [], 0
+        for batch in batches:
+            for text in batch.column(0).cast(pa.large_binary()):
+                found = shingles(text.as_py() or b"", width)
+                cells.append(_keys(found) << 16 | _digest(found) & 0xFFFF)
+                held += len(found)
+                if held > COUNTED:
+                    yield flushed(cells)
+                    cells, held = [], 0
+        if held:
+            yield flushed(cells)
+
+    return docs.select("text").mapInArrow(rows, "bucket int, cells binary")
+
+
+def _counted(packed: DataFrame) -> DataFrame:
+    """(item, count) of the keys that stand in several documents; a task holds the cells of one bucket at once."""
+    rest = LISTED_BITS - BUCKET_BITS
+
+    def several(bucket, packs):
+        low = np.frombuffer(b"".join(packs), np.uint8).reshape(-1, (rest + 16) // 8)
+        cells = np.zeros((len(low), 8), np.uint8)
+        cells[:, : low.shape[1]] = low
+        items, counts = np.unique(np.unique(cells.view(np.int64)) >> 16, return_counts=True)
+        items, counts = items[counts > 1], counts[counts > 1]
+        return pa.RecordBatch.from_arrays([pa.array(items | bucket << rest), pa.array(np.minimum(counts, 65535), pa.int32())], names=["item", "count"])
+
+    def rows(batches):
+        now, packs = None, []
+        for batch in batches:
+            for bucket, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and packs:
+                    yield several(now, packs)
+                    packs = []
+                now = bucket
+                packs.append(pack)
+        if packs:
+            yield several(now, packs)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, "item bigint, count int")
+
+
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of shingles that stand in several documents of a sample, sorted, and their counts; for the order only.
+
+    Of more than LISTED those with the largest counts.
+    """
+    rate = max(SAMPLE, SAMPLE_DOCS / max(1, docs.count()))
+    part = docs if rate >= 1 else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < int(10**6 * rate))
+    counted = cut(_counted(_packed(part, width)))
+    least, total = 2, 0
+    for count, n in counted.groupBy("count").agg(F.count("*")).orderBy(F.desc("count")).collect():
+        total += n
+        if total > LISTED:
+            least = count + 1
+            break
+    listed = counted.where(F.col("count") >= least).toArrow().sort_by("item")
+    discard(counted)
+    return listed["item"].to_numpy(), listed["count"].to_numpy().astype(np.uint16)
+
+
+def _in_order(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    listed, counts = frequent
+    if not len(listed) or not len(found):
+        return found
+    keys = _keys(found)
+    at = np.minimum(np.searchsorted(listed, keys), len(listed) - 1)
+    return found[np.argsort(np.where(listed[at] == keys, counts[at], 0), kind="stable")]
 
 
 def prefixes(docs: DataFrame, width: int, threshold: float, frequent) -> DataFrame:
     """(doc_id, digest, n, items, fp): items are the prefix of each row's set, in order, fp its fingerprint.
 
-    frequent: broadcast, the shingles that come last.
+    frequent: broadcast, the shingles that come last, by their counts.
     """
 
     def choose(found):

@@ -1,6 +1,8 @@
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,40 @@ def test_jaccard_of_a_large_family_meets_by_pivots(spark, crowd, monkeypatch):
     assert sum(asked) <= 4 * len(texts)
 
 
+def test_jaccard_lists_the_shingles_of_a_share_of_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 20)  # as few of 800 as 5,000 of a large corpus
+    rng = random.Random(11)
+    passages = [" ".join(f"p{k}.{j}" for j in range(40)) for k in range(16)]
+    texts = [" ".join(f"o{k}.{j}" for j in range(30)) + f" {rng.choice(passages)} " + " ".join(f"q{k}.{j}" for j in range(30)) for k in range(800)]
+    texts += [t + " and more" for t in texts[:20]]
+    made, met = [], jaccard._met
+
+    def counted(*of):
+        made.append(met(*of).count())
+        return met(*of)
+
+    monkeypatch.setattr(jaccard, "_met", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs(spark, *texts)).collect()}
+    assert got == {k: k % 800 for k in range(820)} and len(made) == 1 and made[0] <= len(texts)
+
+
+def test_jaccard_counts_shingles_by_documents(spark, monkeypatch):
+    rng = random.Random(12)
+    lines = [words(rng, 9) for _ in range(12)]
+    texts = [" ".join(rng.choices(lines, k=4)) for _ in range(40)] + [lines[0] + " tail"] * 30 + [None, "", "a b"]
+    sets = {tuple(jaccard.shingles((t or "").encode())) for t in texts}
+    count = Counter(int(k) for s in sets for k in set(jaccard._keys(np.array(s, np.int64)).tolist()))
+    want = {k: n for k, n in count.items() if n > 1}
+    for held, listed in ((1 << 20, 10**6), (1, 10**6), (1 << 20, len(want) // 2)):
+        monkeypatch.setattr(jaccard, "COUNTED", held)
+        monkeypatch.setattr(jaccard, "LISTED", listed)
+        items, counts = jaccard._frequent(docs(spark, *texts), 5)
+        got = dict(zip(items.tolist(), counts.tolist(), strict=True))
+        least = min(got.values())
+        assert sorted(got) == items.tolist() and got == {k: n for k, n in want.items() if n >= least} and 0 < len(got) <= listed
+        assert listed < len(want) or got == want
+
+
 def test_jaccard_pairs_are_discarded_by_their_distances_to_the_pivot(spark):
     most = jaccard.most_bits(0.8)
     bits = {2: 10, 3: 10 + most, 4: 11 + most}
