@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Rows of a batch that is given back.
 ROWS = 1 << 16
@@ -59,28 +63,46 @@ def find(column: pa.Array, pattern: tuple[int | None, ...] | bytes, no_overlap:
     return row, at - bounds[row]
 
 
-def matches(pattern, subject) -> list[tuple[int, int]]:
-    """(start, end) of the leftmost matches of a compiled regex, empty ones too.
+def spans(pattern, subject, size: int = ROWS) -> Iterator[np.ndarray]:
+    """(start, end) of the leftmost matches of a compiled regex, empty ones too, in arrays of `size` rows at most.
 
-    The next search begins where a match ended; an empty match there is skipped by one place.
+    The next search begins where a match ended; an empty match there is skipped by one place. The engine goes on as well
+    with a longer match where an empty one came first; there it is set to the next place.
     """
-    out, at, last = [], 0, -1
-    while at <= len(subject):
-        m = pattern.search(subject, at)
-        if not m:
-            break
-        start, end = m.span()
-        if start == end == last:
-            at += 1
-            continue
-        out.append((start, end))
-        at = last = end
-    return out
-
-
-def slices(column: pa.Array, row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
-    """The bytes [start, stop) of the rows' values."""
-    data, bounds = buffer(column)
+    found, last, was_empty = pattern.finditer(subject), -1, False
+    while got := [m.span() for m in islice(found, size)]:
+        each = np.array(got, np.int64)
+        start, end = each[:, 0], each[:, 1]
+        empty, before = start == end, np.concatenate(([last], end[:-1]))
+        again = start == before
+        longer = np.flatnonzero(again & ~empty & np.concatenate(([was_empty], empty[:-1])))
+        stop = int(longer[0]) if len(longer) else len(each)
+        yield each[:stop][~(again & empty)[:stop]]
+        last, was_empty = int(end[stop - 1] if stop == len(each) else start[stop]), bool(empty[-1] if stop == len(each) else True)
+        if len(longer):
+            found = pattern.finditer(subject, last + 1)
+
+
+def matches(pattern, subject) -> list[tuple[int, int]]:
+    return [(a, b) for part in spans(pattern, subject) for a, b in part.tolist()]
+
+
+def pieces(batch: pa.RecordBatch, *columns: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose binary columns hold about `limit` bytes at most; a longer single row stays whole."""
+    if not batch.num_rows:
+        return
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in columns)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def slices(held: tuple[np.ndarray, np.ndarray], row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """The bytes [start, stop) of the rows' values in a column's buffer."""
+    data, bounds = held
     size = stop - start
     ends = np.concatenate(([0], np.cumsum(size)))
     index = np.arange(ends[-1]) + np.repeat(bounds[row] + start - ends[:-1], size)

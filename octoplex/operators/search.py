@@ -7,6 +7,8 @@ batch of blobs as one run of bytes, so that the time is linear in the bytes and
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +35,37 @@ def compiled(pattern: Regex):
     return regex.compile(re.sub(r"(?<!\\)((?:\\\\)*)\$", r"\1\\Z", pattern.source))
 
 
-def _regex_hits(column: pa.Array, pattern: Regex, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, stop) in bytes of the matches in each value; invalid UTF-8 counts as the replacement character."""
-    source, rows, starts, stops = compiled(pattern), [], [], []
+def _regex_hits(column: pa.Array, pattern: Regex, first: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, start, stop) in bytes of the matches in each value, about kernels.ROWS at a time; invalid UTF-8 counts as the replacement character."""
+    source, held, n = compiled(pattern), [], 0
+
+    def joined():
+        spans = np.concatenate([x[1] for x in held])
+        return np.concatenate([x[0] for x in held]), spans[:, 0], spans[:, 1]
+
     for k, value in enumerate(column):
         data = value.as_py()
         if data is None:
             continue
-        if pattern.mode == "bytes":
-            found = kernels.matches(source, data)
-        else:
-            text = data.decode("utf-8", "replace")
-            found = kernels.matches(source, text)
-            if len(data) != len(text):
-                edges = np.fromiter((len(c.encode()) for c in text), np.int64, len(text)) if "�" not in text else _byte_widths(data)
-                edges = np.concatenate(([0], np.cumsum(edges)))
-                found = [(int(edges[a]), int(edges[b])) for a, b in found]
-        found = found[:1] if first else found
-        rows += [k] * len(found)
-        starts += [a for a, _ in found]
-        stops += [b for _, b in found]
-    return np.array(rows, np.int64), np.array(starts, np.int64), np.array(stops, np.int64)
+        subject, edges = data, None
+        if pattern.mode != "bytes":
+            subject = data.decode("utf-8", "replace")
+            if len(data) != len(subject):
+                edges = np.concatenate(([0], np.cumsum(_widths(subject) if "�" not in subject else _byte_widths(data))))
+        for part in islice(kernels.spans(source, subject, 1 if first else kernels.ROWS), 1 if first else None):
+            held.append((np.full(len(part), k), part if edges is None else edges[part]))
+            n += len(part)
+            if n >= kernels.ROWS:
+                yield joined()
+                held, n = [], 0
+    if held:
+        yield joined()
+
+
+def _widths(text: str) -> np.ndarray:
+    """Of each character, how many bytes it has in UTF-8."""
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
 
 
 def _byte_widths(data: bytes) -> np.ndarray:
@@ -78,6 +90,7 @@ def _byte_widths(data: bytes) -> np.ndarray:
 def search(df: DataFrame, pattern: Pattern, find_all: bool = True, no_overlap: bool = False, context: int = 0, key: str = "blob_id") -> DataFrame:
     """(key, offset, match): a row for each match, or for the first of each blob. With context, before and after too.
 
+    Bytes are searched some MB at a time and matches are given back as they are found, so memory does not hold them all.
     Blobs that cannot match are dropped before any bytes leave the JVM. A null blob has no match. Without context, the
     first match of a fixed pattern never leaves it.
     """
@@ -92,21 +105,24 @@ def search(df: DataFrame, pattern: Pattern, find_all: bool = True, no_overlap: b
         found = df.select(F.col(key), "data", at.alias("offset")).where("offset >= 0")
         return found.select(key, "offset", octets.cut(b, start, len(pattern.data)).alias("match"), *_around(b, start, len(pattern.data), context))
 
+    def hits(data):
+        if not fixed:
+            yield from _regex_hits(data, pattern, not find_all)
+            return
+        row, start = kernels.find(data, pattern.data, no_overlap)
+        for a in range(0, len(row), kernels.ROWS):
+            s = start[a : a + kernels.ROWS]
+            yield row[a : a + kernels.ROWS], s, s + len(pattern.data)
+
     def rows(batches):
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in kernels.pieces(batch, 1)):
             keys, data = batch.columns
-            if fixed:
-                row, start = kernels.find(data, pattern.data, no_overlap)
-                stop = start + len(pattern.data)
-            else:
-                row, start, stop = _regex_hits(data, pattern, not find_all)
-            bounds = kernels.buffer(data)[1]
-            for a in range(0, len(row), kernels.ROWS):
-                r, s, e = (x[a : a + kernels.ROWS] for x in (row, start, stop))
-                out = [keys.take(pa.array(r)), pa.array(s), kernels.slices(data, r, s, e)]
+            held = kernels.buffer(data)
+            for r, s, e in hits(data):
+                out = [keys.take(pa.array(r)), pa.array(s), kernels.slices(held, r, s, e)]
                 if context:
-                    size = bounds[r + 1] - bounds[r]
-                    out += [kernels.slices(data, r, np.maximum(s - context, 0), s), kernels.slices(data, r, e, np.minimum(e + context, size))]
+                    size = held[1][r + 1] - held[1][r]
+                    out += [kernels.slices(held, r, np.maximum(s - context, 0), s), kernels.slices(held, r, e, np.minimum(e + context, size))]
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     kept = df.select(key, "data")
