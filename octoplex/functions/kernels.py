@@ -109,8 +109,8 @@ def slices(held: tuple[np.ndarray, np.ndarray], row: np.ndarray, start: np.ndarr
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data[index].tobytes())]).cast(pa.binary())
 
 
-def differences(a: bytes, b: bytes) -> np.ndarray:
+def differences(a: bytes | np.ndarray, b: bytes | np.ndarray) -> np.ndarray:
     """Ascending places at which two values differ; past the end of one everything does."""
+    a, b = (x if isinstance(x, np.ndarray) else np.frombuffer(x, np.uint8) for x in (a, b))
     n = min(len(a), len(b))
-    found = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
-    return np.concatenate((found, np.arange(n, max(len(a), len(b)))))
+    return np.concatenate((np.flatnonzero(a[:n] != b[:n]), np.arange(n, max(len(a), len(b)))))
