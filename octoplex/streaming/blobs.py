@@ -1,14 +1,15 @@
 """Stateful operators over streams of chunks (stream_id, seq, data). Chunk sizes never change a result.
 
 seq counts from 0 in each stream; a chunk that comes again is ignored, and one that comes early waits in the state, up
-to MAX_HELD bytes for a stream. Where chunks have a column `last` (BOOLEAN), it ends the stream: what is left over is
+to MAX_HELD bytes for a stream, longer only within a micro-batch. Where chunks have a column `last` (BOOLEAN), it ends the stream: what is left over is
 given out and the state is dropped.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,43 +30,81 @@ def histogram(chunks: DataFrame) -> DataFrame:
     return byte_counts(chunks)
 
 
-def _ordered(frames: Iterator[pd.DataFrame], expected: int, held: dict, end: int) -> tuple[bytes, int, int]:
-    """The bytes that follow on, in the order of seq; later chunks wait in `held`. end is the last seq, or -1."""
-    for frame in frames:
-        for seq, data, last in zip(frame["seq"], frame["data"], frame["last"], strict=True):
-            if seq >= expected:
-                held[int(seq)] = b"" if data is None else bytes(data)
-            if last:
-                end = int(seq)
-    out = []
-    while expected in held:
-        out.append(held.pop(expected))
-        expected += 1
-    if sum(map(len, held.values())) > MAX_HELD:
-        raise ValueError(f"over {MAX_HELD} bytes wait for chunk {expected} of a stream")
-    return b"".join(out), expected, end
+class _Stream:
+    """What is known of one stream: the seq that comes next, chunks that came early, the last seq or -1, and what work keeps."""
 
+    __slots__ = ("expected", "held", "end", "tail", "base", "free", "done")
 
-_KEEP = "expected bigint, held map<bigint,binary>, end bigint, tail binary, base bigint, free bigint"
+    def __init__(self, expected=0, held=None, end=-1, tail=b"", base=0, free=0):
+        self.expected, self.held, self.end, self.tail, self.base, self.free, self.done = expected, held or {}, end, tail, base, free, False
+
+    def kept(self) -> tuple:
+        return self.expected, self.held, self.end, self.tail, self.base, self.free
+
+    def following(self) -> bytes:
+        """The bytes that follow on, in the order of seq."""
+        out = []
+        while self.expected in self.held:
+            out.append(self.held.pop(self.expected))
+            self.expected += 1
+        return b"".join(out)
+
+
+#: Streams are kept by so many groups, by a hash of their ids: Spark's work for a group is worth that of hundreds of streams.
+GROUPS = 2048
 
 
 def _stateful(chunks: DataFrame, work, schema: str, mode: str) -> DataFrame:
-    """work(stream, new, ended, tail, base, free) gives the rows and what the state keeps: tail, base and free."""
+    """work(new, ended, tail, base, free) gives the columns after stream_id and what the state keeps: tail, base and free.
+
+    In the mode update a stream has one row a micro-batch, the last.
+    """
     chunks = chunks if "last" in chunks.columns else chunks.withColumn("last", F.lit(False))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def frame(rows: list[tuple[int, tuple]]) -> pd.DataFrame:
+        ids = np.repeat(np.array([k for k, _ in rows], np.int64), [len(x[0]) for _, x in rows])
+        return pd.DataFrame(dict(zip(names, [ids, *(np.concatenate(c) for c in zip(*(x for _, x in rows), strict=True))], strict=True)))
 
     def step(key, frames, state: GroupState):
-        expected, held, end, tail, base, free = state.get if state.exists else (0, {}, -1, b"", 0, 0)
-        waiting = {int(k): bytes(v) for k, v in held.items()}
-        new, expected, end = _ordered(frames, expected, waiting, end)
-        ended = 0 <= end < expected
-        rows, tail, base, free = work(key[0], new, ended, bytes(tail), base, free)
-        if ended:
+        streams = {k: _Stream(*v) for k, v in pickle.loads(state.get[0]).items()} if state.exists else {}
+        latest: dict[int, tuple] = {}
+        for part in frames:
+            touched: dict[int, _Stream] = {}
+            for k, seq, data, last in zip(part["stream_id"].tolist(), part["seq"].tolist(), part["data"], part["last"].tolist(), strict=True):
+                one = touched.get(k)
+                if one is None:
+                    one = touched[k] = streams.setdefault(k, _Stream())
+                if seq >= one.expected:
+                    one.held[seq] = b"" if data is None else bytes(data)
+                if last:
+                    one.end = seq
+            rows = []
+            for k, one in touched.items():
+                if one.done:
+                    continue
+                new = one.following()
+                one.done = 0 <= one.end < one.expected
+                made, one.tail, one.base, one.free = work(new, one.done, one.tail, one.base, one.free)
+                if mode == "update":
+                    latest[k] = made
+                elif len(made[0]):
+                    rows.append((k, made))
+            if rows:
+                yield frame(rows)
+        if latest:
+            yield frame(list(latest.items()))
+        left = {k: one.kept() for k, one in streams.items() if not one.done}
+        for k, one in streams.items():
+            if k in left and sum(map(len, one.held.values())) > MAX_HELD:
+                raise ValueError(f"over {MAX_HELD} bytes wait for chunk {one.expected} of a stream")
+        if left:
+            state.update((pickle.dumps(left),))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((expected, waiting, end, tail, base, free))
-        yield rows
 
-    return chunks.select("stream_id", "seq", "data", "last").groupBy("stream_id").applyInPandasWithState(step, schema, _KEEP, mode, GroupStateTimeout.NoTimeout)
+    grouped = chunks.select("stream_id", "seq", "data", "last", F.pmod(F.xxhash64("stream_id"), F.lit(GROUPS)).alias("_group"))
+    return grouped.groupBy("_group").applyInPandasWithState(step, schema, "streams binary", mode, GroupStateTimeout.NoTimeout)
 
 
 def search(chunks: DataFrame, pattern: Exact | Mask, no_overlap: bool = False) -> DataFrame:
@@ -76,14 +115,14 @@ def search(chunks: DataFrame, pattern: Exact | Mask, no_overlap: bool = False) -
     """
     width = len(pattern.data)
 
-    def work(stream, new, ended, tail, base, free):
+    def work(new, ended, tail, base, free):
         data = tail + new
         found = kernels.places(np.frombuffer(data, np.uint8), pattern.data) + base
         if no_overlap:
             found = kernels.greedy(found, width, free)
             free = int(found[-1]) + width if len(found) else free
         keep = min(len(data), width - 1)
-        return pd.DataFrame({"stream_id": [stream] * len(found), "offset": found.astype(np.int64)}), data[len(data) - keep :], base + len(data) - keep, free
+        return (found.astype(np.int64),), data[len(data) - keep :], base + len(data) - keep, free
 
     return _stateful(chunks, work, "stream_id bigint, offset bigint", "append")
 
@@ -91,17 +130,16 @@ def search(chunks: DataFrame, pattern: Exact | Mask, no_overlap: bool = False) -
 def blocks(chunks: DataFrame, block_size: int) -> DataFrame:
     """(stream_id, offset, size, entropy, ic) of each full block, and of the short last one when the stream ends."""
 
-    def work(stream, new, ended, tail, base, free):
+    def work(new, ended, tail, base, free):
         data = tail + new
         full = len(data) // block_size
         counts = [np.bincount(np.frombuffer(data, np.uint8, block_size, block_size * k), minlength=256) for k in range(full)]
         if ended and len(data) > full * block_size:
             counts.append(np.bincount(np.frombuffer(data, np.uint8, offset=full * block_size), minlength=256))
-        grid = np.array(counts).reshape(-1, 256)
+        grid = np.array(counts, np.int64).reshape(-1, 256)
         entropy, ic = _measures(grid)
         at = base + block_size * np.arange(len(grid), dtype=np.int64)
-        rows = pd.DataFrame({"stream_id": [stream] * len(grid), "offset": at, "size": grid.sum(1).astype(np.int64), "entropy": entropy, "ic": ic})
-        return rows, data[full * block_size :], base + full * block_size, free
+        return (at, grid.sum(1).astype(np.int64), entropy, ic), data[full * block_size :], base + full * block_size, free
 
     return _stateful(chunks, work, "stream_id bigint, offset bigint, size bigint, entropy double, ic double", "append")
 
@@ -109,9 +147,9 @@ def blocks(chunks: DataFrame, block_size: int) -> DataFrame:
 def crc32(chunks: DataFrame) -> DataFrame:
     """(stream_id, size, crc32) so far, after each micro-batch; the state is a number, however long the stream."""
 
-    def work(stream, new, ended, tail, size, value):
+    def work(new, ended, tail, size, value):
         value, size = zlib.crc32(new, value), size + len(new)
-        return pd.DataFrame({"stream_id": [stream], "size": [size], "crc32": [f"{value:08x}"]}), b"", size, value
+        return (np.array([size]), np.array([f"{value:08x}"], object)), b"", size, value
 
     return _stateful(chunks, work, "stream_id bigint, size bigint, crc32 string", "update")
 
@@ -125,11 +163,28 @@ def block_digests(chunks: DataFrame, algorithm: str, block_size: int) -> DataFra
 
     made = of_bytes(algorithm)
 
-    def work(stream, new, ended, tail, base, free):
+    def work(new, ended, tail, base, free):
         data = tail + new
         stop = len(data) if ended else len(data) // block_size * block_size
         at = list(range(0, stop, block_size))
-        rows = pd.DataFrame({"stream_id": [stream] * len(at), "offset": [base + k for k in at], "digest": made([data[k : k + block_size] for k in at])})
-        return rows, data[stop:], base + stop, free
+        digests = np.array(made([data[k : k + block_size] for k in at]), object)
+        return (base + np.array(at, np.int64), digests), data[stop:], base + stop, free
 
     return _stateful(chunks, work, "stream_id bigint, offset bigint, digest string", "append")
+
+
+def finished(made: DataFrame, folder: str, mode: str) -> DataFrame:
+    """The result of a stream once all that is there has been read, written by executors to a folder that all share.
+
+    In the mode complete the last micro-batch is the result, else all of them are.
+    """
+    path = f"{folder.rstrip('/')}/octoplex/{uuid.uuid4().hex}"
+    kept: list[str] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")  # a micro-batch that runs again takes the place of its first run
+        kept[:] = ([] if mode == "complete" else [x for x in kept if not x.endswith(f"/batch-{number}")]) + [f"{path}/batch-{number}"]
+
+    made.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    reader = made.sparkSession.read.schema(made.schema)
+    return reader.parquet(*kept) if kept else made.sparkSession.createDataFrame([], made.schema)

@@ -116,3 +116,26 @@ def test_empty_documents_have_no_blocks_in_the_queries(spark, tmp_path):
     assert [r[0] for r in got["entropy_whole"]] == [r[0] for r in got["ic_whole"]] == [r[0] for r in got["entropy_json"]] == [r[0] for r in got["display_dec"]] == [r[0] for r in got["display_oct"]] == [2, 4]
     assert [r[:3] for r in got["entropy_blocks"]] == [r[:3] for r in got["ic_blocks"]] == [(2, 0, 3), (4, 0, 256), (4, 256, 44)]
     assert sum(r[1] for r in got["entropy_classes"]) == sum(r[1] for r in got["ic_classes"]) == 2 and got["entropy_summary"][0][0] == 3
+
+
+def test_results_of_streams_do_not_come_to_the_driver(spark, tmp_path):
+    rows = [(1, "the" * 900), (2, ""), (3, "x" * 700 + "the"), (4, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = catalogue.QUERIES["stream_search"](spark, str(tmp_path))
+    assert "Scan parquet" in plan(made).replace("FileScan", "Scan")  # before, a table in the driver's memory
+    assert sorted(map(tuple, made.collect())) == [(1, 3 * k) for k in range(900)] + [(3, 700)]
+    blocks = catalogue.QUERIES["stream_blocks"](spark, str(tmp_path)).collect()
+    assert sorted((r["stream_id"], r["offset"], r["size"]) for r in blocks) == sorted((k, o, min(256, len(t) - o)) for k, t in rows if t for o in range(0, len(t), 256))
+    assert {r["stream_id"]: r["size"] for r in catalogue.QUERIES["stream_crc32"](spark, str(tmp_path)).collect()} == {1: 2700, 2: 0, 3: 703}
+
+
+def test_chunks_are_cut_before_there_is_a_row_for_each(spark, tmp_path):
+    spark.createDataFrame([(1, "abc" * 500), (2, "")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = catalogue._chunks(spark, str(tmp_path))
+    assert "Generate explode(transform" in made._jdf.queryExecution().analyzed().toString()  # before, the document itself went into each row
+    got = {}
+    sink = made.writeStream.format("memory").queryName("cut_up").trigger(availableNow=True).start()
+    sink.awaitTermination()
+    for r in spark.table("cut_up").collect():
+        got[r["stream_id"], r["seq"]] = (bytes(r["data"]), r["last"])
+    assert got == {(1, 0): (b"abc" * 333 + b"a", False), (1, 1): ((b"abc" * 500)[1000:], True), (2, 0): (b"", True)}
