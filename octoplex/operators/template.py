@@ -276,7 +276,7 @@ def _decoded(f: Field, b: Column, at: Column, size: Column, big: bool) -> tuple[
             number = _bit_value(raw, shift, f.bit_size, big, signed)
         else:
             raw = octets.cut(b, at, width // 8)
-            number = (octets.signed(raw, width, not big) if signed else octets.unsigned(raw, not big)).cast(WIDE)
+            number = (octets.signed(raw, width, not big) if signed else octets.unsigned(raw, not big, width // 8)).cast(WIDE)
         return _named(number, f.enum), number, raw
     raw = octets.cut(b, at, size)
     if f.type == "string":

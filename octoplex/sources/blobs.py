@@ -41,7 +41,7 @@ def packed(*columns: tuple[str, int], little: bool = False):
     parts = []
     for name, width in columns:
         piece = F.unhex(F.lpad(F.hex(F.col(name).cast("bigint")), 2 * width, "0"))
-        parts.append(octets.reversed_bytes(piece) if little else piece)
+        parts.append(octets.reversed_bytes(piece, width) if little else piece)
     return F.concat(*parts)
 
 

@@ -139,3 +139,10 @@ def test_chunks_are_cut_before_there_is_a_row_for_each(spark, tmp_path):
     for r in spark.table("cut_up").collect():
         got[r["stream_id"], r["seq"]] = (bytes(r["data"]), r["last"])
     assert got == {(1, 0): (b"abc" * 333 + b"a", False), (1, 1): ((b"abc" * 500)[1000:], True), (2, 0): (b"", True)}
+
+
+def test_bytes_of_known_width_are_reversed_without_text(spark):
+    assert "regexp_extract_all" not in plan(catalogue.QUERIES["struct_little"](spark, "/root/testdata/sf0.001"))
+    df = blobs.from_bytes(spark, bytes(range(1, 9)), b"\x01\x02", b"", b"\xff" * 8)
+    for width in (8, 9):
+        assert [bytes(r[0]) for r in df.orderBy("blob_id").select(diff.octets.reversed_bytes(diff.F.col("data"), width)).collect()] == [bytes(range(8, 0, -1)), b"\x02\x01", b"", b"\xff" * 8]
