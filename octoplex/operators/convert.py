@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..functions import octets
 from ..functions.literals import Unsupported
@@ -40,42 +41,42 @@ def strip_bom(b: Column) -> Column:
     return F.when(found == "utf-8", octets.cut(b, 3, octets.size(b))).when(found.isNotNull(), octets.cut(b, 2, octets.size(b))).otherwise(b)
 
 
-def _utf16(encoding: str):
-    codec = encoding.replace("utf-16", "utf-16-")
+_DECODED = StructType([StructField("text", StringType()), StructField("valid", BooleanType())])
 
-    @F.pandas_udf(StringType())
-    def decode(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: bytes(x).decode(codec, "replace"), na_action="ignore")
-
-    return decode
 
-
-def _utf16_valid(encoding: str):
+def _utf16(encoding: str):
+    """Text, and whether the bytes were valid, decoded a few values at a time, so that few are held as Python objects."""
     codec = encoding.replace("utf-16", "utf-16-")
 
-    def good(x) -> bool:
+    def one(value: bytes | None) -> tuple[str | None, bool | None]:
+        if value is None:
+            return None, None
         try:
-            bytes(x).decode(codec)
-            return True
+            return value.decode(codec), True
         except UnicodeDecodeError:
-            return False
+            return value.decode(codec, "replace"), False
 
-    @F.pandas_udf(BooleanType())
-    def valid(data: pd.Series) -> pd.Series:
-        return data.map(good, na_action="ignore")
+    @F.arrow_udf(_DECODED)
+    def decode(data: pa.Array) -> pa.Array:
+        parts = []
+        for start in range(0, max(len(data), 1), 64):
+            made = [one(x.as_py()) for x in data.slice(start, 64)]
+            parts.append(pa.StructArray.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.bool_())], names=["text", "valid"]))
+        return pa.concat_arrays(parts)
 
-    return valid
+    return decode
 
 
-def decode(b: Column, encoding: str, on_error: str = "replace") -> tuple[Column, Column]:
-    """Text, and whether the bytes were valid. replace writes U+FFFD, ignore takes it out again."""
+def decode(b: Column, encoding: str, on_error: str = "replace", made: Column | None = None) -> tuple[Column, Column]:
+    """Text, and whether the bytes were valid. replace writes U+FFFD, ignore takes it out again. made: UTF-16 decoded already."""
     if encoding == "windows-1252":
         return F.translate(octets.latin1(b), _C1, _CP1252), F.lit(True)
     if encoding == "utf-8":
         raw = b.cast("string")
         text, valid = F.make_valid_utf8(raw), F.is_valid_utf8(raw)
     else:
-        text, valid = _utf16(encoding)(b), _utf16_valid(encoding)(b)
+        made = _utf16(encoding)(b) if made is None else made
+        text, valid = made["text"], made["valid"]
     if on_error == "ignore":
         text = F.when(valid, text).otherwise(F.replace(text, F.lit("�"), F.lit("")))
     return text, valid
@@ -125,7 +126,12 @@ def convert(df: DataFrame, source: str = "utf-8", target: str = "utf-8", line_en
     if bom not in ("add", "remove", "keep") or on_error not in ("strict", "replace", "ignore"):
         raise Unsupported(f"bom={bom}, on_error={on_error}")
     b = F.col("data")
-    text, valid = decode(strip_bom(b), source, on_error)
+    held = "_decoded"
+    while held.lower() in map(str.lower, df.columns):
+        held += "_"
+    if source.startswith("utf-16"):  # a column of its own, so that it is decoded once
+        df = df.withColumn(held, _utf16(source)(strip_bom(b)))
+    text, valid = decode(strip_bom(b), source, on_error, F.col(held))
     text = newlines(text, line_ends)
     error = F.when(~valid, F.lit(f"invalid {source}")) if on_error == "strict" else F.lit(None).cast("string")
     if target == "windows-1252" and on_error == "strict":
@@ -136,6 +142,6 @@ def convert(df: DataFrame, source: str = "utf-8", target: str = "utf-8", line_en
         marked = F.concat(octets.literal(mark), made)
         made = marked if bom == "add" else F.when(detect_bom(b).isNotNull(), marked).otherwise(made)
     if fail_fast:
-        return df.withColumn("data", F.when(error.isNull(), made).otherwise(F.raise_error(error)))
+        return df.withColumn("data", F.when(error.isNull(), made).otherwise(F.raise_error(error))).drop(held)
     out = df.withColumn("error", error)
-    return out.withColumn("data", F.when(F.col("error").isNull(), made))
+    return out.withColumn("data", F.when(F.col("error").isNull(), made)).drop(held)

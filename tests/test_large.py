@@ -146,3 +146,19 @@ def test_bytes_of_known_width_are_reversed_without_text(spark):
     df = blobs.from_bytes(spark, bytes(range(1, 9)), b"\x01\x02", b"", b"\xff" * 8)
     for width in (8, 9):
         assert [bytes(r[0]) for r in df.orderBy("blob_id").select(diff.octets.reversed_bytes(diff.F.col("data"), width)).collect()] == [bytes(range(8, 0, -1)), b"\x02\x01", b"", b"\xff" * 8]
+
+
+def test_utf16_is_decoded_a_few_values_at_a_time(spark):
+    from octoplex.operators import convert
+
+    column = pa.array(["text é".encode("utf-16-be") * 800] * 4000)
+    tracemalloc.start()
+    got = convert._utf16("utf-16be").func(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6 and len(got) == 4000 and got.field("valid").to_pylist() == [True] * 4000
+    df = spark.createDataFrame([(1, bytearray(b"\x00a\xd8\x00\x00b")), (2, None), (3, bytearray()), (4, bytearray(b"\x00a\x00"))], "blob_id bigint, data binary").withColumn("_decoded", diff.F.lit(7))
+    out = {r["blob_id"]: (r["data"] and bytes(r["data"]), r["error"], r["_decoded"]) for r in convert.convert(df, source="utf-16be").collect()}
+    assert out == {1: (None, "invalid utf-16be", 7), 2: (None, None, 7), 3: (bytearray(), None, 7), 4: (None, "invalid utf-16be", 7)}
+    kept = {r["blob_id"]: r["data"] and bytes(r["data"]).decode() for r in convert.convert(df, source="utf-16be", on_error="replace").collect()}
+    assert kept == {1: "a�b", 2: None, 3: bytearray(), 4: "a�"}
