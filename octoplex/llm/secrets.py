@@ -24,12 +24,15 @@ class Rule:
     pattern: str
     group: int
     least: int
+    #: What can be told cheaply: a character class or such by which each match begins, and text that each match holds.
+    begins: str = ""
+    holds: str = ""
 
 
 #: In the order by which spans with an equal start are listed.
 RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"(AKIA[A-Z0-9]+)", 1, 20),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, begins="[PpSsTtAa]"),
+    Rule("access", r"(AKIA[A-Z0-9]+)", 1, 20, holds="AKIA"),
     Rule("hex", r"([0-9a-f]{24,})", 1, 24),  # runs are maximal, so the shorter ones need not be matched
 )
 RULE_VERSION = "1"
@@ -46,7 +49,11 @@ def content_address(versions: DataFrame) -> DataFrame:
 
 def _may_match(rules: tuple[Rule, ...]) -> Column:
     """Is there a match of any rule, of whatever length? False for a null text."""
-    return F.coalesce(F.col("text").rlike("|".join(f"(?:{r.pattern})" for r in rules)), F.lit(False))
+    found = F.lit(False)
+    for r in rules:
+        one = F.col("text").rlike(f"(?={r.begins})(?:{r.pattern})" if r.begins else r.pattern)
+        found = found | (F.contains("text", F.lit(r.holds)) & one if r.holds else one)
+    return F.coalesce(found, F.lit(False))
 
 
 def find_spans(texts: DataFrame, key: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -162,3 +162,14 @@ def test_utf16_is_decoded_a_few_values_at_a_time(spark):
     assert out == {1: (None, "invalid utf-16be", 7), 2: (None, None, 7), 3: (bytearray(), None, 7), 4: (None, "invalid utf-16be", 7)}
     kept = {r["blob_id"]: r["data"] and bytes(r["data"]).decode() for r in convert.convert(df, source="utf-16be", on_error="replace").collect()}
     assert kept == {1: "a�b", 2: None, 3: bytearray(), 4: "a�"}
+
+
+def test_the_prefilter_of_secrets_tells_what_the_rules_tell(spark):
+    from octoplex.llm import secrets
+
+    texts = ["passWORD=abc", "Token: x", "API_key='1", "secret x", "akia AKIA1", "AKIA a", "0123456789abcdef01234567", "0123456789abcdef0123456", "", None, "xpasswd:=", "API-key=1", "apikey = b", "Key tOKen=abc"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = diff.F.coalesce(diff.F.col("text").rlike("|".join(f"(?:{r.pattern})" for r in secrets.RULES)), diff.F.lit(False))
+    got = [tuple(r) for r in df.select(secrets._may_match(secrets.RULES), plain).collect()]
+    assert all(a == b for a, b in got) and sum(a for a, _ in got) == 7
+    assert secrets.RULES[0].begins and secrets.RULES[1].holds  # before, all rules were tried at each character
